@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seqlake.llm import piece_codec
+from seqlake.llm import piece_codec, pivot_search, resharding
 from seqlake.llm.common import table
 
 
@@ -24,9 +25,35 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(piece_codec.decode_documents(piece_codec.encode_documents(docs, model), model))
 
 
+def op4_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From eight shards by source to eight of near equal bytes."""
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(8))
+    placed = resharding.reshard(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), old, 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def op10_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return pivot_search.top_k(rows, F.col("vec_id") % 20 == 0)
+
+
+OP10_SQL = """
+with sound as (
+    select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+    select q.vec_id as query_id, c.vec_id as vec_id, list_dot_product(q.v, c.v)::bigint as score
+    from sound q join sound c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
+)
+select query_id, rank, vec_id, score from (
+    select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored
+) where rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_piece_codec": op2_piece_codec}
+    return {f.__name__: f for f in (op2_piece_codec, op4_resharding, op10_pivot_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_pivot_search": OP10_SQL}
