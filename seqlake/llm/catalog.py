@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.llm import piece_codec, pivot_search, resharding
-from seqlake.llm.common import table
+from seqlake.llm import compression_language, noisy_toxicity, piece_codec, pivot_search, resharding
+from seqlake.llm.common import held_out, table
 
 
 def tokenizer(name: str = "piece_bpe_32k.model") -> bytes:
@@ -32,6 +32,20 @@ def op4_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op8_noisy_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = noisy_toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 4, 2))
+    scored = noisy_toxicity.score(docs, model)
+    return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= noisy_toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op9_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    dictionaries = compression_language.learn(docs, ~held_out("doc_id", 4, 2))
+    found = compression_language.predict(docs, dictionaries)
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op10_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return pivot_search.top_k(rows, F.col("vec_id") % 20 == 0)
@@ -52,7 +66,7 @@ select query_id, rank, vec_id, score from (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_piece_codec, op4_resharding, op10_pivot_search)}
+    return {f.__name__: f for f in (op2_piece_codec, op4_resharding, op8_noisy_toxicity, op9_compression_language, op10_pivot_search)}
 
 
 def oracle_sql() -> dict[str, str]:
