@@ -25,7 +25,7 @@ from seqlake.llm.common import arrow, small_batches, texts
 #: The sample that dictionaries are made from: texts of each language, longest text in bytes, bytes of a dictionary.
 SAMPLE_TEXTS, SAMPLE_LONGEST, DICT_BYTES, MOST_LANGUAGES = 300, 16_384, 110_000, 400
 #: Bytes of text that are compressed at once, the level, and the margin (of the smaller size) under which a decision is rejected.
-BLOCK, LEVEL, MARGIN = 4096, 3, 0.01
+BLOCK, LEVEL, MARGIN = 4096, 12, 0.01
 #: Bytes of difference that change the odds of two languages by a factor of e.
 SCALE = 8.0
 
