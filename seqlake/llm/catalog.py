@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.llm import compression_language, noisy_toxicity, piece_codec, pivot_search, resharding
+from seqlake.llm import compression_language, golay_dedup, noisy_toxicity, piece_codec, pivot_search, resharding
 from seqlake.llm.common import held_out, table
 
 
@@ -32,6 +32,10 @@ def op4_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op5_golay_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golay_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_noisy_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = noisy_toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 4, 2))
@@ -66,7 +70,7 @@ select query_id, rank, vec_id, score from (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_piece_codec, op4_resharding, op8_noisy_toxicity, op9_compression_language, op10_pivot_search)}
+    return {f.__name__: f for f in (op2_piece_codec, op4_resharding, op5_golay_dedup, op8_noisy_toxicity, op9_compression_language, op10_pivot_search)}
 
 
 def oracle_sql() -> dict[str, str]:
