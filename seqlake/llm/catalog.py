@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.llm import compression_language, golay_dedup, noisy_toxicity, piece_codec, pivot_search, resharding
+from seqlake.llm import compression_language, decontamination, golay_dedup, noisy_toxicity, piece_codec, pivot_search, resharding
 from seqlake.llm.common import held_out, table
 
 
@@ -19,6 +19,10 @@ def tokenizer(name: str = "piece_bpe_32k.model") -> bytes:
         return f.read()
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -70,7 +74,7 @@ select query_id, rank, vec_id, score from (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_piece_codec, op4_resharding, op5_golay_dedup, op8_noisy_toxicity, op9_compression_language, op10_pivot_search)}
+    return {f.__name__: f for f in (op1_decontamination, op2_piece_codec, op4_resharding, op5_golay_dedup, op8_noisy_toxicity, op9_compression_language, op10_pivot_search)}
 
 
 def oracle_sql() -> dict[str, str]:
