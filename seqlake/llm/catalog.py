@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.llm import compression_language, decontamination, golay_dedup, line_dedup, noisy_toxicity, piece_codec, pivot_search, resharding
+from seqlake.llm import compression_language, decontamination, golay_dedup, line_dedup, noisy_toxicity, piece_codec, pivot_search, recurrent_lm, resharding
 from seqlake.llm.common import held_out, table
 
 
@@ -29,6 +29,10 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(piece_codec.decode_documents(piece_codec.encode_documents(docs, model), model))
 
 
+def op3_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), held_out("doc_id", 10, 0))
+
+
 def op4_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From eight shards by source to eight of near equal bytes."""
     old = F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(8))
@@ -78,7 +82,7 @@ select query_id, rank, vec_id, score from (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_piece_codec, op4_resharding, op5_golay_dedup, op6_line_dedup, op8_noisy_toxicity, op9_compression_language, op10_pivot_search)}
+    return {f.__name__: f for f in (op1_decontamination, op2_piece_codec, op3_recurrent_lm, op4_resharding, op5_golay_dedup, op6_line_dedup, op8_noisy_toxicity, op9_compression_language, op10_pivot_search)}
 
 
 def oracle_sql() -> dict[str, str]:
