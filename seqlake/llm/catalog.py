@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.llm import compression_language, decontamination, golay_dedup, line_dedup, noisy_toxicity, piece_codec, pivot_search, recurrent_lm, resharding
+from seqlake.llm import compression_language, decontamination, feistel_pseudonyms, golay_dedup, line_dedup, noisy_toxicity, piece_codec, pivot_search, recurrent_lm, resharding
 from seqlake.llm.common import held_out, table
 
 
@@ -48,6 +48,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_removed")
 
 
+def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feistel_pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), "demonstration key")
+
+
 def op8_noisy_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = noisy_toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 4, 2))
@@ -82,7 +86,7 @@ select query_id, rank, vec_id, score from (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_piece_codec, op3_recurrent_lm, op4_resharding, op5_golay_dedup, op6_line_dedup, op8_noisy_toxicity, op9_compression_language, op10_pivot_search)}
+    return {f.__name__: f for f in (op1_decontamination, op2_piece_codec, op3_recurrent_lm, op4_resharding, op5_golay_dedup, op6_line_dedup, op7_feistel_pseudonyms, op8_noisy_toxicity, op9_compression_language, op10_pivot_search)}
 
 
 def oracle_sql() -> dict[str, str]:
