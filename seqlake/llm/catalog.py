@@ -55,7 +55,7 @@ def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_noisy_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = noisy_toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 4, 2))
-    scored = noisy_toxicity.score(docs, model)
+    scored = noisy_toxicity.score(docs.withColumn("doc_id", F.col("doc_id").cast("long")), model)
     return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= noisy_toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -85,8 +85,14 @@ select query_id, rank, vec_id, score from (
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_piece_codec, op3_recurrent_lm, op4_resharding, op5_golay_dedup, op6_line_dedup, op7_feistel_pseudonyms, op8_noisy_toxicity, op9_compression_language, op10_pivot_search)}
+    return {f.__name__: f for f in (op1_decontamination, op2_piece_codec, op3_recurrent_lm, op4_resharding, op5_golay_dedup, op6_line_dedup, op7_feistel_pseudonyms, op8_noisy_toxicity, op9_compression_language, op10_pivot_search, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

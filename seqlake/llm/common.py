@@ -5,11 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows in one Arrow batch: documents can be long, so batches are kept short to bound a worker's memory.
 BATCH_ROWS = 512
@@ -68,3 +67,21 @@ def arrow(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
             yield work(b)
+
+
+def appended(docs: DataFrame, new: list[tuple[str, T.DataType]], source: str, work) -> DataFrame:
+    """docs with columns that work() makes from the source column; columns of the same name are replaced."""
+    names = [n for n, _ in new]
+    rest = docs.drop(*[n for n in names if n != source])
+    keep = [c for c in rest.columns if c not in names]
+    fields = [rest.schema[c] for c in keep] + [T.StructField(n, k) for n, k in new]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one(b: pa.RecordBatch) -> pa.RecordBatch:
+            made = work(b.column(source))
+            return pa.RecordBatch.from_arrays([b.column(c) for c in keep] + made, names=keep + names)
+
+        return arrow(batches, one)
+
+    small_batches(docs.sparkSession)
+    return rest.mapInArrow(run, T.StructType(fields))

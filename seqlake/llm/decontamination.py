@@ -147,22 +147,25 @@ class _Items:
         self.key, self.value = key, value
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, item_id, similarity, first_word, n_words: a row for each item that a document holds."""
-    spark = docs.sparkSession
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[_Items]:
+    """The benchmark in blocks of about block_bytes, each on its way to the workers."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    small_batches(spark)
-    found = None
     for k in range(blocks):
-        own = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()]  # about block_bytes
-        shared = _Items((k, hash(tuple(own))), spark.sparkContext.broadcast(own))
+        own = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()]
+        yield _Items((k, hash(tuple(own))), spark.sparkContext.broadcast(own))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, item_id, similarity, first_word, n_words: a row for each item that a document holds."""
+    small_batches(docs.sparkSession)
+    found = None
+    for shared in _blocks(benchmark, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = _block_of(shared)
-            if not len(block.known):
-                return
             for b in batches:
                 out = _in_batch(block, b.column("doc_id").to_pylist(), b.column("text").to_pylist())
                 if out:
@@ -173,7 +176,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
     return found
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without the rows that hold an item."""
+    small_batches(docs.sparkSession)
+    for shared in _blocks(benchmark, block_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            block = _block_of(shared)
+            for b in batches:
+                if b.num_rows:
+                    leaky = {row[0] for row in _in_batch(block, list(range(b.num_rows)), [t or "" for t in b.column("text").to_pylist()])}
+                    yield b.filter(pa.array([i not in leaky for i in range(b.num_rows)]))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def _in_batch(block: Benchmark, ids: list, own: list[str]) -> list[tuple]:
+    """(id, item, similarity, first word, words) of what the texts of a batch hold."""
+    if not len(block.known) or not own:
+        return []
     hashes, at = words(own)
     out = []
     s = shingles(hashes, SHINGLE)

@@ -52,17 +52,17 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long."""
+    """doc_id, h (a hash of the text), fp: the fingerprint as a signed long."""
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
         got = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64)
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(got.view(np.int64))], names=["doc_id", "h", "fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return arrow(batches, work)
 
     small_batches(docs.sparkSession)
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs).withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id long, h long, fp long")
 
 
 class Golay:
@@ -212,14 +212,33 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(_matched, "u long, v long")
 
 
+def _roots(prints: DataFrame, hot: int) -> DataFrame:
+    """fp, root for every distinct fingerprint, written."""
+    distinct = written(prints.select("fp").distinct())
+    roots = components(links(distinct, hot))
+    return written(distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint, component_id for every row."""
     prints = written(fingerprints(docs))
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct.select("fp"), hot))
-    named = distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = written(named)
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(least, "root").select("fp", "component_id")
+    roots = _roots(prints, hot)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    of = written(roots.join(least, "root").select("fp", "component_id"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(of, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """docs with one row of each component: the one of the smallest doc_id (a null id comes last)."""
+    prints = written(fingerprints(docs).withColumn("key", F.coalesce("doc_id", F.lit(2**63 - 1))))
+    roots = _roots(prints, hot)
+    first = prints.groupBy("fp").agg(F.min(F.struct("key", "h")).alias("f")).join(roots, "fp").groupBy("root").agg(F.min("f").alias("f")).select("f.key", "f.h")
+    rows = docs.withColumns({"__key": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "__h": F.xxhash64(F.coalesce("text", F.lit("")))})
+    kept = written(first.withColumnsRenamed({"key": "__key", "h": "__h"}))
+    again = prints.groupBy(F.col("key").alias("__key"), F.col("h").alias("__h")).count().where("count > 1").select("__key", "__h")
+    again = written(again.join(kept, ["__key", "__h"], "left_semi"))
+    mine = rows.join(kept, ["__key", "__h"], "left_semi")
+    if again.limit(1).count():  # kept rows that the table holds several times
+        mine = mine.join(again, ["__key", "__h"], "left_anti").unionByName(rows.join(again, ["__key", "__h"], "left_semi").dropDuplicates(["__key", "__h"]))
+    return mine.select(*docs.columns)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqlake.llm.common import arrow, small_batches
+from seqlake.llm.common import appended
 
 MARK = "▁"
 LETTER = r"[^\W\d_]"
@@ -302,24 +302,6 @@ def codec_of(model: bytes) -> PieceCodec:
     return _codecs[key]
 
 
-def _appended(docs: DataFrame, new: list[tuple[str, pa.DataType]], source: str, work, kinds: list[T.DataType]) -> DataFrame:
-    """docs with columns that work() makes from the source column; columns of the same name are replaced."""
-    names = [n for n, _ in new]
-    rest = docs.drop(*names) if source not in names else docs.drop(*[n for n in names if n != source])
-    keep = [c for c in rest.columns if c not in names]
-    fields = [rest.schema[c] for c in keep] + [T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def one(b: pa.RecordBatch) -> pa.RecordBatch:
-            made = work(b.column(source))
-            return pa.RecordBatch.from_arrays([b.column(c) for c in keep] + made, names=keep + names)
-
-        return arrow(batches, one)
-
-    small_batches(docs.sparkSession)
-    return rest.mapInArrow(run, T.StructType(fields))
-
-
 def encode_documents(docs: DataFrame, model: bytes, text_col: str = "text", begin_end: bool = True) -> DataFrame:
     """docs with n_tokens long and ids binary (little-endian unsigned 32-bit integers)."""
 
@@ -328,7 +310,7 @@ def encode_documents(docs: DataFrame, model: bytes, text_col: str = "text", begi
         ids = [codec.encode(x or "", begin_end) for x in col.to_pylist()]
         return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
 
-    return _appended(docs, [("n_tokens", pa.int64()), ("ids", pa.binary())], text_col, work, [T.LongType(), T.BinaryType()])
+    return appended(docs, [("n_tokens", T.LongType()), ("ids", T.BinaryType())], text_col, work)
 
 
 def decode_documents(encoded: DataFrame, model: bytes, ids_col: str = "ids") -> DataFrame:
@@ -338,7 +320,7 @@ def decode_documents(encoded: DataFrame, model: bytes, ids_col: str = "ids") ->
         codec = codec_of(model)
         return [pa.array([codec.decode(x or b"") for x in col.to_pylist()], pa.string())]
 
-    return _appended(encoded, [("decoded", pa.string())], ids_col, work, [T.StringType()])
+    return appended(encoded, [("decoded", T.StringType())], ids_col, work)
 
 
 def digests(decoded: DataFrame) -> DataFrame:
