@@ -20,10 +20,10 @@ def dedup_sequences(seqs: DataFrame, group: list[str] | None = None, fallback: l
     """
     parts = [F.coalesce(F.nullif(F.col(g), F.lit("")), *([F.col(f)] if f else [])) for g, f in zip(group or [], fallback or [None] * len(group or []), strict=True)]
     keyed = seqs.withColumn("__key", F.struct(*[p.alias(f"g{i}") for i, p in enumerate(parts)], sequence_key(F.col("seq")).alias("digest")))
-    first = keyed.groupBy("__key").agg(F.min(F.struct("_ord", "id")).alias("f"), F.count("*").alias("weight"))
-    mapped = keyed.join(first, "__key").select(F.col("f.id").alias("kept"), F.col("id").alias("orig"))
-    weights = first.select(F.col("f.id").alias("kept"), "weight")
-    kept = keyed.join(first.select(F.col("f.id").alias("id"), F.col("f._ord").alias("_ord")), ["id", "_ord"], "left_semi").drop("__key")
+    first = keyed.groupBy("__key").agg(F.min(F.struct("_ord", "id")).alias("__first"), F.count("*").alias("weight"))
+    mapped = keyed.join(first, "__key").select(F.col("__first.id").alias("kept"), F.col("id").alias("orig"))
+    weights = first.select(F.col("__first.id").alias("kept"), "weight")
+    kept = keyed.join(first.select(F.col("__first.id").alias("id"), F.col("__first._ord").alias("_ord")), ["id", "_ord"], "left_semi").drop("__key")
     return kept, mapped, weights
 
 

@@ -38,7 +38,7 @@ def read_fasta(spark: SparkSession, path: str | list[str], limit: int | None = N
 
 def read_fastq(spark: SparkSession, path: str | list[str], limit: int | None = None) -> DataFrame:
     """name, description, seq, qual, _ord; records of four lines."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
     record = whole.select("file", F.split(F.rtrim(F.regexp_replace("value", "\r", "")), "\n").alias("l"))
     each = record.select("file", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size("l") / 4).cast("int") - 1), lambda i: F.slice("l", i * 4 + 1, 4))).alias("i", "r")).where(F.size("r") == 4)
     head = F.substr(F.col("r")[0], F.lit(2))
@@ -77,7 +77,7 @@ def read_lookup(df: DataFrame, key: str, *values: str) -> DataFrame:
 
 def read_scores(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """name, len, total, struct, prob of an alignment-score listing: the rows between its first and second block of comments."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.split("value", "\n").alias("l"))
+    whole = spark.read.text(path, wholetext=True).select(F.split("value", "\n").alias("l"))
     rows = whole.select(F.col("l"), F.posexplode("l").alias("i", "line"))
     # comment blocks: lines with # whose predecessor has none
     block = F.aggregate(F.slice("l", 1, F.col("i") + 1), F.struct(F.lit(0).alias("n"), F.lit(False).alias("in_")), lambda a, x: F.struct((a["n"] + F.when(x.startswith("#") & ~a["in_"], 1).otherwise(0)).alias("n"), x.startswith("#").alias("in_")), lambda a: a["n"])
@@ -91,7 +91,7 @@ def read_alignments(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     A report's context (query, parameters, alignment) is in the lines before, so a file is read by one task.
     """
-    whole = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -185,14 +185,14 @@ def flat_record(text: str) -> dict:
 
 def read_newick(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, tree: one row for each tree of a file."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.explode(F.split("value", ";")).alias("tree"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.explode(F.split("value", ";")).alias("tree"))
     return whole.select("file", F.concat(F.trim(F.regexp_replace("tree", r"\s*\n\s*", "")), F.lit(";")).alias("tree")).where("tree <> ';'")
 
 
 def read_run_lengths(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """name, rle: a headerless table, or one JSON object of name to string."""
     if str(path).endswith((".json", ".json.gz", ".json.bz2")):
-        whole = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,string>").alias("m"))
+        whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
         return whole.select(F.explode("m").alias("name", "rle"))
     return read_table(spark, path, header=False, names=["name", "rle"])
 
