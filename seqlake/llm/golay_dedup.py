@@ -208,7 +208,7 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
         # a part for each `hot` filed fingerprints; whoever looks under the key is sent to every part
         crowded = F.broadcast(crowded) if n <= 50_000 else crowded
         part = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(F.col("kind") == 0, F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-        rows = rows.join(crowded, "key", "left").select((F.explode(part).cast("long") * (1 << 27) + F.col("key")).alias("key"), "kind", "fp")
+        rows = rows.join(crowded, "key", "left").select("key", "kind", "fp", F.explode(part).alias("part")).select((F.col("part").cast("long") * (1 << 27) + F.col("key")).alias("key"), "kind", "fp")
     return rows.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(_matched, "u long, v long")
 
 
