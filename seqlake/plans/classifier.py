@@ -35,12 +35,12 @@ def select_valid_hits(hits: DataFrame) -> DataFrame:
     above its threshold and has an id. The hits above their threshold at this rank stay. One without an id there falls to
     its next coarser id, and goes if a hit with an id at the deciding rank has the same id at the coarser one.
     """
-    deepest = F.aggregate(F.sequence(F.lit(0), F.size("lineage") - 1), F.lit(-1), lambda a, i: F.when((F.col("pident") > F.col("thr")[i]) & F.col("lineage")[i].isNotNull(), i).otherwise(a))
+    deepest = F.aggregate(F.sequence(F.lit(0), F.size("lineage") - 1), F.lit(-1), lambda a, i: F.when((F.col("pident") > F.get("thr", i)) & F.get("lineage", i).isNotNull(), i).otherwise(a))
     ranked = hits.withColumn("__deep", deepest)
     ranked = ranked.withColumn("__rank", F.max("__deep").over(Window.partitionBy(*QUERY)))
     passed = ranked.where((F.col("__rank") >= 0) & (F.col("pident") > F.get("thr", F.col("__rank"))))
-    at = F.aggregate(F.sequence(F.lit(0), F.col("__rank")), F.lit(-1), lambda a, i: F.when(F.col("lineage")[i].isNotNull(), i).otherwise(a))
-    passed = passed.withColumn("__at", at).where("__at >= 0").withColumn("assignment_tax_id", F.col("lineage")[F.col("__at")]).withColumn("assignment_threshold", F.col("thr")[F.col("__rank")])
+    at = F.aggregate(F.sequence(F.lit(0), F.col("__rank")), F.lit(-1), lambda a, i: F.when(F.get("lineage", i).isNotNull(), i).otherwise(a))
+    passed = passed.withColumn("__at", at).where("__at >= 0").withColumn("assignment_tax_id", F.get("lineage", F.col("__at"))).withColumn("assignment_threshold", F.get("thr", F.col("__rank")))
     whole = passed.where(F.col("__at") == F.col("__rank"))
     fallen = passed.where(F.col("__at") < F.col("__rank"))
     used = whole.select(*QUERY, F.posexplode("lineage").alias("__at", "assignment_tax_id")).where("assignment_tax_id is not null").distinct()
