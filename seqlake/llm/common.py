@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -57,6 +58,12 @@ def drop_written(*dfs: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no DataFrame needs any longer, before the next large step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(id_col: str, parts: int, part: int):
     """Whether crc32 of the id as text, modulo parts, is part. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts == part, F.lit(False))
