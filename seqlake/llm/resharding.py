@@ -8,12 +8,14 @@ what is left. A document's slot in its shard is its block's offset and its place
 
 Law `bytes`: sizes of the shards are near equal (up to the smallest blocks). Size of a document: UTF-8 bytes of its text and one; a null text
 has no bytes and is like an empty one. Rows with equal ids, or wholly equal rows, are rows of their own and get slots of
-their own. An empty table gives an empty plan.
+their own. An empty table gives an empty plan. Rows whose old shard is null lie in no shard yet: they are dealt like a shard of
+their own, NO_SHARD, and all of them move.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Blocks in each old shard: the unit of transfers, and the bound of what the driver gets (times the number of shards).
 BLOCKS = 2048
+#: Stands for a null old shard while planning; results show null again.
+NO_SHARD = -(2**31)
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[int, int], int]:
@@ -137,23 +141,45 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, blocks: int = BLOCK
         F.col("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        old_shard.cast("int").alias("old_shard"),
+        F.coalesce(old_shard.cast("int"), F.lit(NO_SHARD)).alias("old_shard"),
     )
     sized = sized.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(blocks)).cast("int"))
     counted = sized.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).toPandas()  # old shards times blocks at most
     plan = deal(counted, shards, capacity) if len(counted) else counted.assign(shard=[], first_slot=[])
     plan = spark.createDataFrame(plan.astype("int64"), "old_shard long, block long, bytes long, rows long, shard long, first_slot long").select(F.col("old_shard").cast("int"), F.col("block").cast("int"), F.col("shard").cast("int"), "first_slot")
     place = F.row_number().over(Window.partitionBy("old_shard", "block").orderBy("doc_id", "text_crc32", "size"))
-    return sized.withColumn("place", place).join(F.broadcast(plan), ["old_shard", "block"]).select("doc_id", "size", "text_crc32", "old_shard", "block", "shard", (F.col("first_slot") + F.col("place") - 1).alias("slot"))
+    return sized.withColumn("place", place).join(F.broadcast(plan), ["old_shard", "block"]).select("doc_id", "size", "text_crc32", F.nullif("old_shard", F.lit(NO_SHARD)).alias("old_shard"), "block", "shard", (F.col("first_slot") + F.col("place") - 1).alias("slot"))
 
 
 def rewrite(docs: DataFrame, old_shard: Column, shards: int, to: str, blocks: int = BLOCKS) -> list[int]:
-    """Write anew, under to/shard=N, the shards that lose or gain documents; returns their numbers. Others stay as they are."""
-    rows = docs.withColumn("old_shard", old_shard.cast("int"))
-    moves = reshard(docs, old_shard, shards, blocks).select("old_shard", "block", "shard").distinct()
+    """Write anew, under to/shard=N, the shards that lose or gain documents; returns their numbers. Others stay as they are.
+
+    The new shards are written to a folder of their own first and then take the places of the old ones, so docs may be read
+    from `to`; a changed shard that keeps no document goes.
+    """
+    rows = docs.withColumn("old_shard", F.coalesce(old_shard.cast("int"), F.lit(NO_SHARD))).drop("shard")
+    moves = reshard(docs, old_shard, shards, blocks).select(F.coalesce("old_shard", F.lit(NO_SHARD)).alias("old_shard"), "block", "shard").distinct()
     changed = [r[0] for r in moves.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard"))).distinct().collect()]  # shards at most
+    changed = sorted(set(changed) - {NO_SHARD})
+    if not changed:
+        return []
     text = F.coalesce(F.col("text"), F.lit(""))
     block = F.pmod(F.xxhash64("doc_id", F.crc32(text), (F.octet_length(text) + 1).cast("long")), F.lit(blocks)).cast("int")
     placed = rows.withColumn("block", block).join(F.broadcast(moves), ["old_shard", "block"]).where(F.col("shard").isin(changed))
-    placed.drop("old_shard", "block").write.mode("overwrite").partitionBy("shard").parquet(to)
-    return sorted(changed)
+    staging = f"{to}/_resharding-{uuid.uuid4().hex}"  # readers skip names with a leading underscore
+    placed.drop("old_shard", "block").write.partitionBy("shard").parquet(f"{staging}/new")
+    _swap(docs, staging, to, changed)
+    return changed
+
+
+def _swap(docs: DataFrame, staging: str, to: str, changed: list[int]) -> None:
+    """Each changed shard's new folder in place of its old one, which is deleted after all have changed places."""
+    sc = docs.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path
+    fs = path(to).getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(path(f"{staging}/old"))
+    for j in changed:
+        for a, b in ((f"{to}/shard={j}", f"{staging}/old/shard={j}"), (f"{staging}/new/shard={j}", f"{to}/shard={j}")):
+            if fs.exists(path(a)) and not fs.rename(path(a), path(b)):
+                raise OSError(f"can't move {a} to {b}; {staging} holds the shards")
+    fs.delete(path(staging), True)

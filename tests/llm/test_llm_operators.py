@@ -184,6 +184,32 @@ def test_resharding(spark, tmp_path):
     assert resharding.reshard(df.limit(0), old, 8).count() == 0
 
 
+def test_rewrite_keeps_other_shards(spark, tmp_path):
+    """On an existing layout: shards that nothing leaves or enters keep their files, and no document is lost."""
+    to = str(tmp_path / "layout")
+    rows = [(i, f"text {i:04d}", 0 if i < 300 else 1 if i < 500 else 2) for i in range(600)]
+    docs(spark, rows, DOCS + ", shard int").write.partitionBy("shard").parquet(to)
+    files = sorted((tmp_path / "layout" / "shard=1").iterdir())
+    now = spark.read.parquet(to)
+    assert resharding.rewrite(now, F.col("shard"), 3, to) == [0, 2]
+    back = spark.read.parquet(to)
+    assert sorted((r["doc_id"], r["text"]) for r in back.collect()) == [r[:2] for r in rows]
+    assert sorted((tmp_path / "layout" / "shard=1").iterdir()) == files
+    assert {r["shard"]: r["count"] for r in back.groupBy("shard").count().collect()} == {0: 200, 1: 200, 2: 200}
+    assert not [p for p in (tmp_path / "layout").iterdir() if p.name.startswith("_resharding")]
+    # a shard beyond the new number is emptied and goes; documents without an old shard come in
+    new = spark.read.parquet(to).unionByName(docs(spark, [(1000 + i, "new one", None) for i in range(50)] + [(None, None, None)], DOCS + ", shard int"))
+    assert resharding.rewrite(new, F.col("shard"), 2, to) == [0, 1, 2]
+    back = spark.read.parquet(to).collect()
+    assert len(back) == 651 and {r["shard"] for r in back} == {0, 1} and {r["doc_id"] for r in back} == {*range(600), *range(1000, 1050), None}
+
+
+def test_resharding_without_old_shard(spark):
+    df = docs(spark, [(i, prose(9), i % 3 or None) for i in range(90)], DOCS + ", s int")
+    got = resharding.reshard(df, F.col("s"), 2).collect()
+    assert len(got) == 90 and sum(r["old_shard"] is None for r in got) == 30
+
+
 def test_min_cost_flow():
     assert resharding.min_cost_flow([5, 1], [3, 3], lambda i, j: int(i != j)) == {(0, 0): 3, (0, 1): 2, (1, 1): 1}
     for _ in range(20):
