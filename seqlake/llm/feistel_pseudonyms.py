@@ -2,7 +2,7 @@
 
 Values are found by pattern and validated: card numbers by their check digit, addresses by the range of their parts, social
 security numbers by their reserved ranges, IBANs by their remainder, dates by the calendar, phone numbers and e-mail
-addresses by their form, secret keys as runs of 32 or more hexadecimal digits. What is valid is put through a keyed Feistel
+addresses by their form, secret keys as runs of 32 or more hexadecimal digits in either case. What is valid is put through a keyed Feistel
 network over just the values of its format, so the result is valid in the same format (check digits are made anew),
 different values stay different, and a value that occurs in many documents gets the same pseudonym in all of them.
 Everything else in a text stays as it is, numbers that aren't valid included.
@@ -22,7 +22,7 @@ _BEFORE, _AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 #: What may be personal, in the order in which patterns are tried at a place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,}" + _AFTER,
-    "secret": _BEFORE + r"(?=[0-9a-f]{0,63}[a-f])[0-9a-f]{32,64}" + _AFTER,
+    "secret": _BEFORE + r"[0-9A-Fa-f]{32,}+" + _AFTER,
     "iban": _BEFORE + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + _AFTER,
     "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}" + _AFTER + r"|(?<![\p{L}\p{N}_.-])\+[0-9]{1,3}[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}" + _AFTER + r"|(?<![\p{L}\p{N}_.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}" + _AFTER,
     "ssn": r"(?<![\p{L}\p{N}_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}_-])",
@@ -68,9 +68,9 @@ def digits(key: Column, kind: str, s: Column) -> Column:
     return F.aggregate(F.array(out), F.lit(""), lambda acc, x: F.concat(acc, F.lpad(x["l"].cast("string"), h, "0"), F.lpad(x["r"].cast("string"), n - h, "0")))
 
 
-def letters(key: Column, kind: str, s: Column, hexadecimal: bool = False) -> Column:
-    """Keyed permutation of strings that keeps the class of every character: digits, small and capital ASCII letters
-    (or hexadecimal digits); other characters stay."""
+def letters(key: Column, kind: str, s: Column, hexadecimal: bool = False, most: int = 26) -> Column:
+    """Keyed permutation of strings that keeps the class of every character: digits, small and capital ASCII letters, the
+    first `most` of the alphabet (or small hexadecimal digits); other characters stay."""
     h = F.floor(F.length(s) / 2).cast("int")
     start = F.struct(F.substr(s, F.lit(1), h).alias("l"), F.substr(s, h + 1).alias("r"))
 
@@ -81,7 +81,7 @@ def letters(key: Column, kind: str, s: Column, hexadecimal: bool = False) -> Col
                 return F.substr(F.lit("0123456789abcdef"), F.pmod(F.instr(F.lit("0123456789abcdef"), c) - 1 + k, F.lit(16)) + 1, F.lit(1))
             code = F.ascii(c)
             of = lambda first, n: F.char(F.pmod(code - first + k, F.lit(n)) + first)
-            return F.when(c.rlike("^[a-z]$"), of(97, 26)).when(c.rlike("^[A-Z]$"), of(65, 26)).when(c.rlike("^[0-9]$"), of(48, 10)).otherwise(c)
+            return F.when(c.rlike("^[a-z]$"), of(97, most)).when(c.rlike("^[A-Z]$"), of(65, most)).when(c.rlike("^[0-9]$"), of(48, 10)).otherwise(c)
 
         return F.when(F.length(text) == 0, text).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
 
@@ -193,12 +193,18 @@ def _email(key: Column, v: Column) -> Column:
     return F.concat(letters(key, "email", F.substr(v, F.lit(1), at - 1)), F.substr(v, at))
 
 
+def _secret(key: Column, v: Column) -> Column:
+    """A key in capitals goes the way of the same key in small letters; one in both cases keeps the class of every digit."""
+    small = lambda x: letters(key, "secret", x, hexadecimal=True)
+    return F.when(v == F.lower(v), small(v)).when(v == F.upper(v), F.upper(small(F.lower(v)))).otherwise(letters(key, "secret", v, most=6))
+
+
 def pseudonym(key: Column, v: Column) -> Column:
     """The pseudonym of a value that ANY matches; the value itself if it isn't valid."""
     whole = lambda kind: v.rlike(f"^(?:{PATTERNS[kind]})$")
     return (
         F.when(v.contains("@"), _email(key, v))
-        .when(whole("secret"), letters(key, "secret", v, hexadecimal=True))
+        .when(whole("secret"), _secret(key, v))
         .when(whole("iban"), _iban(key, v))
         .when(whole("phone"), _phone(key, v))
         .when(whole("ssn"), _ssn(key, v))
@@ -212,7 +218,7 @@ def pseudonym(key: Column, v: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with the text column rewritten, and n_replaced: how many values changed."""
     text, any_ = F.col(text_col), F.lit(ANY)
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, any_, F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.when(text.rlike("[0-9@]|[A-Fa-f]{32}"), F.regexp_extract_all(text, any_, F.lit(0))).otherwise(F.array().cast("array<string>"))
     rows = docs.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
     rows = rows.withColumn("__new", F.transform("__found", lambda v: pseudonym(F.lit(key), v)))
     parts = F.split(text, ANY, -1)

@@ -361,6 +361,20 @@ def test_pseudonyms(spark):
     assert feistel_pseudonyms.pseudonymise(df.limit(0), "k").count() == 0
 
 
+def test_pseudonyms_of_secrets(spark):
+    """Keys in capitals, in both cases and of more than 64 digits; a key in capitals goes the way of the same key in small letters."""
+    keys = ["9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "9233a8ecf7c5b09fe5949719b6b82bc439e9329b", "0123456789abcdef" * 8, "0123456789ABCDEF" * 8, "aB1C" * 10, "f" * 65]
+    keys += ["0" * 40, "aB1C" * 9 + "aB1D"]
+    kept = ["9233A8ECF7C5B09FE5949719B6B82BC", "x" + keys[0], keys[1] + "z"]
+    got = {r["doc_id"]: r for r in feistel_pseudonyms.pseudonymise(docs(spark, [(i, f'"{k}"!!') for i, k in enumerate(keys + kept)]), "k").collect()}
+    new = [got[i]["text"][1:-3] for i in range(len(keys + kept))]
+    assert [got[i]["n_replaced"] for i in range(len(new))] == [1] * len(keys) + [0] * len(kept) and new[len(keys) :] == kept
+    for k, n in zip(keys, new):  # noqa: B905
+        assert n != k and len(n) == len(k) and re.fullmatch("[0-9a-f]+" if k == k.lower() else "[0-9A-F]+" if k == k.upper() else "[0-9A-Fa-f]+", n)
+    assert new[0] == new[1].upper() and new[3] == new[2].upper() and len(set(new)) == len(new)
+    assert [re.sub("[a-f]", "a", re.sub("[A-F]", "A", re.sub("[0-9]", "0", x))) for x in (new[4], new[7])] == ["aA0A" * 10] * 2
+
+
 def test_feistel_is_a_permutation(spark):
     nums = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("s"))
     got = [r[0] for r in nums.select(feistel_pseudonyms.digits(F.lit("k"), "t", F.col("s"))).collect()]
