@@ -2,10 +2,16 @@
 
 A token is a word (runs without ASCII white space, A-Z lowered) or the end of a text. Its probability is factored: the
 recurrent network gives the class, from the classes of all tokens before it in the text, and the class's own distribution
-gives the word. Word counts, class masses, and the share of words not seen before come from all training texts; the
-network's weights and the topics that words are grouped by come from a bounded sample of them (SAMPLE texts of at most
-LONGEST bytes), trained in numpy by backpropagation through windows of WINDOW steps. Scoring runs whole texts through
-lanes, window after window, with the state carried from each to the next.
+gives the word. Everything is learned from all training texts, whole and with every copy: word counts, class masses, the share
+of words not seen before, the topics that words are grouped by, and the network's weights.
+
+Topics: groups of texts by their frequent words begin with a bounded sample of different texts (SAMPLE of at most LONGEST
+bytes), move to the means of all training texts, and each word's topic is the one it has most often in all of them. The
+network begins with the same sample in the driver; then every partition of the training texts trains its own copy, by
+backpropagation through windows of WINDOW steps, and the copies are averaged by their numbers of tokens. This happens in
+ROUNDS, each over its own part of the texts and from the averages of the one before; together they are all texts, once
+each. So what is trained on grows with the input, and the sample is only where training starts. Scoring and training run
+whole texts through lanes, window after window, with the state carried from each to the next.
 
 The HEAD most frequent words are known to every worker with their counts (a table of bounded size). All others, the tail,
 are joined with the counts by word: none of them is frequent, so no key is hot. A word that no training text has counts as
@@ -31,6 +37,12 @@ from seqlake.llm.common import small_batches, written
 
 HEAD, TOPICS, BANDS, TAILS = 131_072, 6, 8, 9
 SAMPLE, LONGEST, EPOCHS, HIDDEN, WINDOW, LANES = 700, 16_384, 3, 16, 32, 192
+#: Sixteenths of the texts that the rounds of training have, and the rate of each.
+ROUNDS, RATES = (range(3), range(3, 16)), (0.01, 0.005)
+#: Tokens of a text that waits for others of its length, and how many tokens wait at most (and a batch).
+LONG, LONG_HELD = 2048, 1_000_000
+#: Words of the texts that groups go by.
+FEATURES = 400
 #: Distinct words that a worker counts before it hands them on.
 FLUSH = 300_000
 
@@ -60,6 +72,17 @@ class Network:
     def weights(self) -> list[np.ndarray]:
         return [self.x, self.u, self.o, self.b]
 
+    def like(self, weights: np.ndarray) -> Network:
+        """A network of this one's sizes with the weights that flat() gave."""
+        new, at = Network(len(self.b)), 0
+        for w in new.weights():
+            w[...] = weights[at : at + w.size].reshape(w.shape)
+            at += w.size
+        return new
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([w.ravel() for w in self.weights()])
+
     def run(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """States (steps, lanes, hidden) and the last one. fresh: where a text begins, and the state with it."""
         h = HIDDEN
@@ -84,8 +107,8 @@ class Network:
         at = flat[np.arange(len(flat)), targets.ravel()]
         return (at - np.log(np.exp(flat).sum(1))).reshape(targets.shape)
 
-    def train(self, lanes: list[np.ndarray], begins: list[np.ndarray], epochs: int = EPOCHS, rate: float = 0.02) -> None:
-        """Adam on windows; gradients stay inside a window, the state doesn't."""
+    def train(self, lanes: list[np.ndarray], begins: list[np.ndarray], epochs: int = EPOCHS, rate: float = 0.02, moments: list | None = None) -> None:
+        """Adam on windows; gradients stay inside a window, the state doesn't. moments: [steps, first, second], carried from call to call."""
         h, classes = HIDDEN, len(self.b)
         steps = max(map(len, lanes))
         target = np.zeros((steps, len(lanes)), np.int64)
@@ -95,9 +118,10 @@ class Network:
             target[: len(c), i], there[: len(c), i], fresh[: len(c), i] = c, True, f
         inputs = np.vstack([np.full((1, len(lanes)), classes), target[:-1]])
         inputs[fresh] = classes
-        m = [np.zeros_like(w) for w in self.weights()]
-        v = [np.zeros_like(w) for w in self.weights()]
-        k = 0
+        moments = [] if moments is None else moments
+        if not moments:
+            moments[:] = 0, [np.zeros_like(w) for w in self.weights()], [np.zeros_like(w) for w in self.weights()]
+        k, m, v = moments
         for epoch in range(epochs):
             state = np.zeros((len(lanes), h), np.float32)
             for a in range(0, steps, WINDOW):
@@ -125,7 +149,7 @@ class Network:
                     d_gates[t] = np.hstack([d_z, d_r, d_n])
                     grads[1] += before.T @ d_a
                     d_h = (d * z + d_a @ self.u.T) * (~new[t])[:, None]
-                np.add.at(grads[0], x.ravel(), d_gates.reshape(-1, 3 * h))
+                grads[0] += _sums(x.ravel(), d_gates.reshape(-1, 3 * h), classes + 1)
                 k += 1
                 norm = math.sqrt(sum(float((g * g).sum()) for g in grads))
                 lr = rate * (1 - epoch / (epochs + 1)) * math.sqrt(1 - 0.999**k) / (1 - 0.9**k)
@@ -134,13 +158,21 @@ class Network:
                     mi += 0.1 * (g - mi)
                     vi += 0.001 * (g * g - vi)
                     w -= lr * mi / (np.sqrt(vi) + 1e-8)
+        moments[0] = k
+
+
+def _sums(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each key below n."""
+    one = np.zeros((len(keys), n), np.float32)
+    one[np.arange(len(keys)), keys] = 1
+    return one.T @ rows
 
 
 class Model:
     """Network, classes and counts of the head, and what the tail classes hold."""
 
     def __init__(self, head: dict[bytes, int], topic: dict[bytes, int], total: int, types: int, ends: int, tails: list[tuple[int, int, int]]):
-        """head: counts; topic: of words of the sample; total, types: N and V; ends: training texts; tails: (tokens, types, words seen once) by tail class."""
+        """head: counts; topic: of words of the head; total, types: N and V; ends: training texts; tails: (tokens, types, words seen once) by tail class."""
         self.total, self.types, self.ends = total, types, ends
         sizes = [c.bit_length() for c in head.values()]
         least, bands = min(sizes, default=1), max(sizes, default=1) - min(sizes, default=1) + 1
@@ -175,6 +207,29 @@ class Model:
             lanes, begins = packed([self.classes_of(t) for t in texts], 24)
             self.net.train(lanes[0], begins)
 
+    def fit_more(self, batches: Iterator[list[str]], rate: float) -> tuple[np.ndarray, int]:
+        """The weights, and on how many tokens they were trained further: all of every text, batch after batch."""
+        net, moments, seen, long = self.net.like(self.net.flat()), [], 0, []
+
+        def on(seqs: list[np.ndarray]) -> int:
+            lanes, begins = packed(seqs, LANES)
+            for own in _even(lanes[0], begins):  # what is longer goes on alone, not beside padding
+                net.train(*own, epochs=1, rate=rate * 2, moments=moments)  # an only epoch has half the rate
+            return sum(map(len, seqs))
+
+        for texts in batches:
+            seqs = [self.classes_of(tokens(t)) for t in texts]
+            # long texts wait for each other: few lanes cost as much time a step as many
+            long += [x for x in seqs if len(x) > LONG]
+            if len(seqs := [x for x in seqs if len(x) <= LONG]):
+                seen += on(seqs)
+            if sum(map(len, long)) > LONG_HELD:
+                seen += on(long)
+                long = []
+        if long:
+            seen += on(long)
+        return net.flat(), seen
+
     def score(self, texts: list[str]) -> list[tuple[int, int, float, float]]:
         """(tokens, head tokens and the end, base, score) of texts, without the tail's words."""
         words, tail0 = self.words, self.tail0
@@ -231,44 +286,110 @@ def packed(seqs: list[np.ndarray], width: int):
     return (lanes, owners), begins
 
 
-def topics(texts: list[list[bytes]], n: int = TOPICS) -> dict[bytes, int]:
-    """A topic for each word of the sample: the group of texts, by their frequent words, that has it most."""
-    counts: Counter = Counter(w for t in texts for w in t)
-    frequent = {w: i for i, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:400])}
-    x = np.zeros((len(texts), max(1, len(frequent))))
-    for i, t in enumerate(texts):
-        for w in t:
-            if w in frequent:
-                x[i, frequent[w]] += 1
-    x = np.sqrt(x / np.maximum(1, x.sum(1, keepdims=True)))
-    centre = x[[int(x.sum(1).argmax())]]
-    while len(centre) < min(n, len(x)):
-        centre = np.vstack([centre, x[(x @ centre.T).max(1).argmin()]])
-    for _ in range(15):
-        own = (x @ centre.T).argmax(1)
-        centre = np.array([x[own == k].mean(0) if (own == k).any() else centre[k] for k in range(len(centre))])
-        centre /= np.maximum(1e-9, np.sqrt((centre * centre).sum(1, keepdims=True)))
-    of: dict[bytes, list[int]] = {}
-    for k, t in zip(own.tolist(), texts, strict=True):
-        for w in t:
-            of.setdefault(w, [0] * n)[k] += 1
-    return {w: c.index(max(c)) for w, c in of.items()}
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
-
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-
-    for b in batches:
-        for t in b.column("text").to_pylist():
-            held.update(tokens(t))
-            if len(held) >= FLUSH:
-                yield out()
-                held = Counter()
-    if held:
-        yield out()
+def _even(lanes: list[np.ndarray], begins: list[np.ndarray]) -> list[tuple[list[np.ndarray], list[np.ndarray]]]:
+    """Lanes in groups of which each has at least half the length of its longest."""
+    order = sorted(range(len(lanes)), key=lambda i: -len(lanes[i]))
+    out: list[list[int]] = []
+    for i in order:
+        if not out or 2 * len(lanes[i]) < len(lanes[out[-1][0]]):
+            out.append([])
+        out[-1].append(i)
+    return [([lanes[i] for i in own], [begins[i] for i in own]) for own in out]
+
+
+class Groups:
+    """Groups of texts, by how often they have frequent words."""
+
+    def __init__(self, texts: list[list[bytes]], n: int = TOPICS):
+        counts: Counter = Counter(w for t in texts for w in t)
+        self.frequent = {w: i for i, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:FEATURES])}
+        x = self.features(texts)
+        centre = x[[int(x.sum(1).argmax())]] if len(x) else np.zeros((1, x.shape[1]))
+        while len(centre) < min(n, len(x)):
+            centre = np.vstack([centre, x[(x @ centre.T).max(1).argmin()]])
+        self.move(centre)
+        for _ in range(15 if len(x) else 0):
+            self.move(*self.sums(x))
+
+    def features(self, texts: list[list[bytes]]) -> np.ndarray:
+        get = self.frequent.get
+        x = np.zeros((len(texts), max(1, len(self.frequent))))
+        for i, t in enumerate(texts):
+            x[i] = np.bincount([k for w in t if (k := get(w)) is not None] or [0], minlength=x.shape[1]) if t else 0
+        return np.sqrt(x / np.maximum(1, x.sum(1, keepdims=True)))
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.centre.T).argmax(1)
+
+    def sums(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = self.of(x)
+        return np.array([x[own == k].sum(0) for k in range(len(self.centre))]), np.bincount(own, minlength=len(self.centre))
+
+    def move(self, sums: np.ndarray, n: np.ndarray | None = None) -> None:
+        """To the directions of these sums of texts; a group without texts stays."""
+        if n is not None:
+            sums = np.where((n > 0)[:, None], sums, self.centre)
+        self.centre = sums / np.maximum(1e-9, np.sqrt((sums * sums).sum(1, keepdims=True)))
+
+
+def _regrouped(groups: Groups, train: DataFrame) -> None:
+    """Move the groups to the means of all training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(groups.centre.shape), np.zeros(len(groups.centre), np.int64)
+        for b in batches:
+            x, k = groups.sums(groups.features([tokens(t) for t in b.column("text").to_pylist()]))
+            total += x
+            n += k
+        for k in np.flatnonzero(n).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([int(n[k])]), pa.array([total[k].tolist()], pa.list_(pa.float64()))], names=["k", "n", "x"])
+
+    total, n = np.zeros(groups.centre.shape), np.zeros(len(groups.centre), np.int64)
+    for r in sorted(train.select("text").mapInArrow(run, "k long, n long, x array<double>").collect()):  # some rows of FEATURES numbers a partition
+        total[r["k"]] += r["x"]
+        n[r["k"]] += r["n"]
+    groups.move(total, n)
+
+
+def _counter(groups: Groups):
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words, and how often each topic has them."""
+        held: list[Counter] = [Counter() for _ in groups.centre]
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for k, own in enumerate(held):
+                if own:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(np.full(len(own), k)), pa.array(list(own.values()), pa.int64())], names=["word", "topic", "n"])
+                own.clear()
+
+        for b in batches:
+            texts = [tokens(t) for t in b.column("text").to_pylist()]
+            for k, t in zip(groups.of(groups.features(texts)).tolist(), texts, strict=True):
+                held[k].update(t)
+                if sum(map(len, held)) >= FLUSH:
+                    yield from out()
+        yield from out()
+
+    return counted
+
+
+def _trained(model: Model, train: DataFrame, rate: float) -> None:
+    """The average, by tokens, of the networks that the partitions train from the model's."""
+    token = uuid.uuid4().hex
+    shared = train.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, seen = _model_of(token, shared).fit_more((b.column("text").to_pylist() for b in batches if b.num_rows), rate)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([weights.tolist()], pa.list_(pa.float64()))], names=["n", "w"])
+
+    total, n = np.zeros(model.net.flat().size), 0
+    for r in train.select("text").mapInArrow(run, "n long, w array<double>").collect():  # some thousand numbers a partition
+        total += np.array(r["w"]) * r["n"]
+        n += r["n"]
+    shared.unpersist()
+    if n:
+        model.net = model.net.like(total / n)
 
 
 _models: dict[str, Model] = {}
@@ -289,8 +410,16 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held"))
     own = own.withColumn("h", F.xxhash64("text"))
     train = own.where(~F.col("held"))
-    counts = written(train.select("text").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
     ends = train.count()
+    share = min(1.0, SAMPLE / max(1, train.agg(F.count_distinct("h")).first()[0]))
+    sample = train.where((F.octet_length("text") <= LONGEST) & (F.pmod("h", F.lit(1 << 30)).cast("double") / (1 << 30) < share)).groupBy("h").agg(F.min("text").alias("text")).collect()  # about SAMPLE texts
+    sample = [tokens(r["text"]) for r in sorted(sample, key=lambda r: r["h"])]
+    groups = Groups(sample)
+    _regrouped(groups, train)
+    in_topic = [F.sum(F.when(F.col("topic") == k, F.col("n")).otherwise(0)) for k in range(len(groups.centre))]
+    most = F.array(*in_topic)
+    counted = train.select("text").mapInArrow(_counter(groups), "word binary, topic long, n long").groupBy("word")
+    counts = written(counted.agg(F.sum("n").alias("c"), (F.array_position(most, F.array_max(most)) - 1).cast("int").alias("topic")))
     bands = counts.groupBy(F.floor(F.log2("c") * 16).cast("int").alias("band")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).orderBy(F.desc("band")).collect()  # about a thousand rows at most
     types, total = sum(b["n"] for b in bands), sum(b["c"] for b in bands) + ends
     types += ends > 0
@@ -301,8 +430,9 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
             break
         least = b["band"]
     in_head = F.floor(F.log2("c") * 16) >= least if least is not None else F.lit(False)
-    head = {bytes(r["word"]): r["c"] for r in counts.where(in_head).collect()}  # HEAD words at most
-    tail = counts.where(~in_head)
+    known = counts.where(in_head).collect()  # HEAD words at most
+    head, topic = {bytes(r["word"]): r["c"] for r in known}, {bytes(r["word"]): r["topic"] for r in known}
+    tail = counts.where(~in_head).drop("topic")
 
     def tail_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((TAILS, 3), np.int64)
@@ -314,11 +444,11 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(TAILS)), *[pa.array(held[:, i]) for i in range(3)]], names=["k", "n", "types", "once"])
 
     parts = {r["k"]: (r["n"], r["types"], r["once"]) for r in tail.mapInArrow(tail_parts, "k long, n long, types long, once long").groupBy("k").agg(*[F.sum(c).alias(c) for c in ("n", "types", "once")]).collect()}
-    share = min(1.0, SAMPLE / max(1, ends))
-    sample = train.where((F.octet_length("text") <= LONGEST) & (F.pmod("h", F.lit(1 << 30)).cast("double") / (1 << 30) < share)).select("text", "h", "doc_id").limit(2 * SAMPLE).collect()
-    texts = [tokens(r["text"]) for r in sorted(sample, key=lambda r: (r["h"], r["doc_id"] or 0))]
-    model = Model(head, topics(texts) if texts else {}, total, types, ends, [parts.get(k, (0, 0, 0)) for k in range(TAILS)])
-    model.fit(texts)
+    model = Model(head, topic, total, types, ends, [parts.get(k, (0, 0, 0)) for k in range(TAILS)])
+    model.fit(sample)
+    part = F.pmod(F.xxhash64("h", "doc_id"), F.lit(16))
+    for own_part, rate in zip(ROUNDS, RATES, strict=True):
+        _trained(model, train.where(part.between(own_part[0], own_part[-1])), rate)
     token = uuid.uuid4().hex
     shared = spark.sparkContext.broadcast(model)  # bounded by HEAD
 

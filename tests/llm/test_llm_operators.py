@@ -137,6 +137,38 @@ def test_recurrent_lm(spark):
     assert recurrent_lm.score(docs(spark, []), held).count() == 0
 
 
+def test_recurrent_lm_learns_from_all_texts(spark, monkeypatch):
+    """All tokens of all training texts, long ones and copies included, train the network, and give words their topics."""
+    monkeypatch.setattr(recurrent_lm, "SAMPLE", 5)
+    rows = [(i, prose(40, i)) for i in range(200)] + [(300 + i, "copy of one text") for i in range(50)] + [(400, prose(4000, 9)), (401, None)]
+    seen, topic = [], {}
+    like, made = recurrent_lm.Network.like, recurrent_lm.Model.__init__
+
+    def averaged(net, weights):
+        seen.append(weights)
+        return like(net, weights)
+
+    def model(self, head, topics, *rest):
+        topic.update(topics)
+        made(self, head, topics, *rest)
+
+    monkeypatch.setattr(recurrent_lm.Network, "like", averaged)
+    monkeypatch.setattr(recurrent_lm.Model, "__init__", model)
+    recurrent_lm.score(docs(spark, rows), F.lit(False)).collect()
+    assert len(seen) == len(recurrent_lm.ROUNDS) and not np.allclose(seen[0], seen[-1])
+    words = {w for _, t in rows for w in (t or "").encode().split()}
+    assert set(topic) == words and None not in topic.values()
+    assert sorted(k for r in recurrent_lm.ROUNDS for k in r) == list(range(16))
+
+
+def test_fit_more_reads_every_token():
+    texts = [prose(50, i) for i in range(20)] + [prose(9000, 3), ""]
+    words = Counter(w for t in texts for w in recurrent_lm.tokens(t))
+    model = recurrent_lm.Model(words, {}, sum(words.values()), len(words), len(texts), [(0, 0, 0)] * recurrent_lm.TAILS)
+    weights, seen = model.fit_more(iter([texts[:10], texts[10:]]), 0.01)
+    assert seen == sum(words.values()) + len(texts) and not np.allclose(weights, model.net.flat())
+
+
 def test_network_gradients():
     net = recurrent_lm.Network(5)
     for w in net.weights():
