@@ -1,6 +1,7 @@
 """Op 9: language identification by compression.
 
-Each language has a raw-content zstandard dictionary: lower-cased words of a bounded sample of its texts. A text is cut
+Each language has a raw-content zstandard dictionary: lower-cased words of a bounded sample of its different texts, in
+which long texts stand as blocks. Every language of a training text with a letter has a dictionary, however rare. A text is cut
 into blocks of its words, every block is compressed with every language's dictionary, and the language with the fewest
 bytes over the whole text wins. Where the second language comes within a narrow margin the decision is marked as rejected.
 
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 from seqlake.llm.common import arrow, small_batches, texts
 
-#: The sample that dictionaries are made from: texts of each language, longest text in bytes, bytes of a dictionary.
-SAMPLE_TEXTS, SAMPLE_LONGEST, DICT_BYTES, MOST_LANGUAGES = 300, 16_384, 110_000, 400
+#: The sample that dictionaries are made from: texts of each language, longest text in bytes (longer ones are cut into
+#: blocks of a quarter as many characters), bytes of a dictionary.
+SAMPLE_TEXTS, SAMPLE_LONGEST, DICT_BYTES = 300, 16_384, 110_000
 #: Bytes of text that are compressed at once, the level, and the margin (of the smaller size) under which a decision is rejected.
 BLOCK, LEVEL, MARGIN = 4096, 12, 0.01
 #: Bytes of difference that change the odds of two languages by a factor of e.
@@ -38,19 +40,23 @@ def plain(text: str) -> bytes:
 
 
 def learn(docs: DataFrame, train: Column, lang_col: str = "lang") -> dict[str, bytes]:
-    """A dictionary for each language, from the rows where train holds. The sample goes by a hash of the text."""
-    rows = docs.where(train & F.col(lang_col).isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_LONGEST)).select(F.col(lang_col).alias("lang"), "text")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not counts:
-        return {}
-    part = F.pmod(F.xxhash64("text"), F.lit(1 << 30)).cast("double") / (1 << 30)
-    keep = F.lit(False)
-    for lang, n in counts.items():
-        keep = keep | ((F.col("lang") == lang) & (part < min(1.0, SAMPLE_TEXTS / n)))
+    """A dictionary for each language, from the rows where train holds.
+
+    The sample goes by a hash of the text, at a rate by the number of a language's different texts; the text with the
+    smallest hash is always in it.
+    """
+    rows = docs.where(train & F.col(lang_col).isNotNull() & F.col("text").isNotNull()).select(F.col(lang_col).alias("lang"), "text")
+    size = SAMPLE_LONGEST // 4  # a character has four bytes at most
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size).cast("int")), lambda i: F.substr("text", i * size + 1, F.lit(size)))
+    rows = rows.select("lang", F.explode(F.when(F.octet_length("text") <= SAMPLE_LONGEST, F.array("text")).otherwise(blocks)).alias("text")).where(F.col("text").rlike(r"\p{L}"))
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
+    rates = rows.select("lang", "h").distinct().groupBy("lang").agg(F.min("h").alias("first"), (F.lit(float(SAMPLE_TEXTS)) / F.count("*")).alias("rate"))
+    kept = rows.join(F.broadcast(rates), "lang").where((F.col("h") == F.col("first")) | (F.col("h").cast("double") / (1 << 62) < F.col("rate")))
     found: dict[str, list[str]] = {}
-    for r in rows.where(keep).dropDuplicates(["lang", "text"]).limit(2 * SAMPLE_TEXTS * len(counts)).collect():
+    for r in kept.select("lang", "text").dropDuplicates().collect():  # about SAMPLE_TEXTS a language
         found.setdefault(r["lang"], []).append(r["text"])
-    return {lang: _dictionary(own) for lang, own in sorted(found.items())}
+    made = {lang: _dictionary(own) for lang, own in sorted(found.items())}
+    return {lang: d for lang, d in made.items() if d}
 
 
 def _dictionary(own: list[str]) -> bytes:

@@ -464,6 +464,21 @@ def test_language(spark):
     assert compression_language.predict(df.limit(0), compression_language.learn(df.limit(0), train)).count() == 0
 
 
+def test_languages_with_copies_long_texts_and_many(spark):
+    syllables = {"aa": "ka lo mi tu ne", "bb": "sch ung ver ent lich"}
+    text = lambda lang, i, n=80: " ".join("".join(random.Random(i * 1000 + k).choices(syllables[lang].split(), k=2)) for k in range(n))
+    # 20,000 copies of one text beside 30 others; long texts only; more languages than 400
+    rows = [(i, text("aa", i), "aa") for i in range(30)] + [(100 + i, text("bb", i, 4000), "bb") for i in range(2)]
+    rows += [(1000 + i, f"word{chr(97 + i % 26)} other{chr(97 + i // 26)}", f"l{i:03d}") for i in range(420)]
+    copies = spark.range(20_000).select((F.col("id") + 10_000).alias("doc_id"), F.lit("the one text").alias("text"), F.lit("aa").alias("lang"))
+    got = compression_language.learn(docs(spark, rows, DOCS + ", lang string").unionByName(copies), F.lit(True))
+    assert len(got) == 422
+    assert all(compression_language.plain(t) in got["aa"] for _, t, lang in rows if lang == "aa") and got["aa"].count(b"the one text") == 1
+    assert len(got["bb"]) > 50_000
+    only = compression_language.learn(docs(spark, [(1, "12 34", "n")] + [(i, "same words", "m") for i in range(9)], DOCS + ", lang string"), F.lit(True))
+    assert only == {"m": b"same words"}
+
+
 # -- 10
 
 
