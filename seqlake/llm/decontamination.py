@@ -2,13 +2,14 @@
 
 Texts are read as lower-case words of letters and digits, and as shingles of five words. A document is contaminated by a
 benchmark item if some window of the document, of as many words as the item, has a weighted Jaccard similarity of at
-least THRESHOLD with it: shingles count as often as they occur, and weigh one over the number of items that hold them.
+least THRESHOLD with it: shingles count as often as they occur, and an item's shingles weigh one over the number of
+different item texts in the whole benchmark that hold them. Shingles of a window that the item doesn't have weigh as much
+as the item's own on average. So the similarity of a document and an item doesn't depend on blocks or repeated items.
 
-A window that reaches the threshold shares shingles with its item, so windows are built only around the places where a
-document has a shingle of the benchmark. Each such window gets a SimHash of its shingles. A multi-index over the items'
-fingerprints (eight blocks of eight bits, each filed with all values within two bits) holds every item within RADIUS bits:
-twenty differing bits leave at most two in some block. Windows and items within the radius are verified by their exact
-similarity. The benchmark goes to the workers in blocks of BLOCK_BYTES; more of it means more passes, never a larger block.
+A window that reaches the threshold shares shingles with its item that weigh THRESHOLD of the item at least, so windows are
+looked at only where a document has that much of it, those with most first, and verified by their exact similarity; none
+is missed. The benchmark goes to the workers in blocks of BLOCK_BYTES, each with the weights of its shingles; more of it
+means more passes, never a larger block.
 
 Texts and items of fewer than five words are one shingle of all their words; such items match whole texts only. Null and
 empty texts and items match nothing. Repeated rows and repeated items match each on their own.
@@ -25,11 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import small_batches, texts
-from seqlake.llm.word_hash import mix, shingles, words
+from seqlake.llm.common import small_batches, texts, written
+from seqlake.llm.word_hash import shingles, words
 
-SHINGLE, THRESHOLD, RADIUS, BLOCK_BYTES = 5, 0.8, 20, 8_000_000
-BLOCKS, NEAR = 8, 2  # blocks of eight bits; bits that a block may differ in: RADIUS // BLOCKS
+SHINGLE, THRESHOLD, BLOCK_BYTES = 5, 0.8, 8_000_000
 FILTER_BITS = 22
 
 
@@ -38,9 +38,10 @@ def shingled(hashes: np.ndarray) -> np.ndarray:
 
 
 class Benchmark:
-    """A block of items, with their shingles, weights and fingerprints."""
+    """A block of items, with their shingles and weights."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], shared: dict[int, int]):
+        """shared: how many different item texts of the whole benchmark hold a shingle, where more than one does."""
         hashes, at = words([t for _, t in items])
         self.ids = [i for i, _ in items]
         own = [shingled(hashes[a:b]) for a, b in zip(at, at[1:], strict=False)]
@@ -51,32 +52,11 @@ class Benchmark:
             for s in c:
                 held.setdefault(s, []).append(i)
         self.held = held
+        self.weight = {s: 1 / shared.get(s, 1) for s in held}
         self.known = np.array(sorted(held), np.uint64)
-        self.known_weight = np.array([1 / len(held[s]) for s in self.known.tolist()])
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self.known >> np.uint64(64 - FILTER_BITS)] = True
-        self.total = [sum(n / len(held[s]) for s, n in c.items()) for c in self.count]
-        self.print = np.array([self.simhash(s) for s in own], np.uint64)
-        near = [x for x in range(256) if x.bit_count() <= NEAR]
-        index: list[list[list[int]]] = [[[] for _ in range(256)] for _ in range(BLOCKS)]
-        for i, p in enumerate(self.print.tolist()):
-            for b in range(BLOCKS):
-                for x in near:
-                    index[b][(p >> 8 * b & 255) ^ x].append(i)
-        self.index = [[np.array(x, np.int64) for x in row] for row in index]
-
-    def weight(self, s: np.ndarray) -> np.ndarray:
-        """One over the number of items that hold a shingle; 1 if none does."""
-        at = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
-        return np.where(self.known[at] == s, self.known_weight[at], 1.0)
-
-    def signs(self, s: np.ndarray) -> np.ndarray:
-        """Weighted signs of the bits of shingles."""
-        bits = np.unpackbits(mix(s ^ np.uint64(0x5851F42D4C957F2D)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        return (bits.astype(np.float64) * 2 - 1) * self.weight(s)[:, None]
-
-    def simhash(self, s: np.ndarray) -> int:
-        return int(np.packbits(self.signs(s).sum(0) > 1e-9, bitorder="little").view(np.uint64)[0]) if len(s) else 0
+        self.total = [sum(n * self.weight[s] for s, n in c.items()) for c in self.count]
 
     def hits(self, s: np.ndarray) -> np.ndarray:
         """Places of shingles that the block has."""
@@ -86,49 +66,46 @@ class Benchmark:
         at = np.minimum(np.searchsorted(self.known, s[maybe]), len(self.known) - 1)
         return maybe[self.known[at] == s[maybe]]
 
-    def within(self, p: int) -> np.ndarray:
-        """Items whose fingerprint differs in RADIUS bits at most."""
-        found = np.unique(np.concatenate([self.index[b][p >> 8 * b & 255] for b in range(BLOCKS)]))
-        return found[np.bitwise_count(self.print[found] ^ np.uint64(p)) <= RADIUS]
-
     def similarity(self, window: np.ndarray, item: int) -> float:
         own, other = Counter(window.tolist()), self.count[item]
-        both = sum(min(n, own[s]) / len(self.held[s]) for s, n in other.items() if s in own)
-        mine = sum(n / len(self.held[s]) if s in self.held else n for s, n in own.items())
-        return both / (mine + self.total[item] - both)
+        weight, total = self.weight, self.total[item]
+        both = sum(min(n, own[s]) * weight[s] for s, n in other.items() if s in own)
+        foreign = sum(n for s, n in own.items() if s not in other)
+        mine = sum(n * weight[s] for s, n in own.items() if s in other) + foreign * total / other.total()
+        return both / (mine + total - both)
 
     def leaks(self, s: np.ndarray, n_words: int, hits: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(item, similarity, first word, words) of the best window for each item that a document holds."""
         if n_words < SHINGLE:
             return [(i, 1.0, 0, n_words) for i in self.held[int(s[0])] if self.size[i] == n_words]
-        wanted: dict[int, set[int]] = {}
+        places: dict[int, list[int]] = {}
         for p in hits.tolist():
             for i in self.held[int(s[p])]:
-                if self.size[i] >= SHINGLE:
-                    wanted.setdefault(int(self.size[i]), set()).add(p)
-        best: dict[int, tuple[float, int, int]] = {}
-        for size, places in sorted(wanted.items()):
+                places.setdefault(i, []).append(p)
+        out = []
+        for i, own in sorted(places.items()):
+            size, least = int(self.size[i]), THRESHOLD * self.total[i] - 1e-9
+            weights = [self.weight[int(s[p])] for p in own]
+            if size < SHINGLE or sum(weights) < least:
+                continue
             span = size - SHINGLE + 1  # shingles in a window
-            at = np.array(sorted(places))
-            starts = np.unique(np.clip((at[:, None] - np.arange(span)[None, :]).ravel(), 0, max(0, len(s) - span)))
-            for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-                a, z = int(run[0]), int(run[-1]) + span
-                part = s[a : min(z, len(s))]
-                sums = np.vstack([np.zeros((1, 64)), np.cumsum(self.signs(part), 0)])
-                lo = run - a
-                up = np.minimum(lo + span, len(part))
-                prints = np.packbits(sums[up] - sums[lo] > 1e-9, axis=1, bitorder="little").view(np.uint64).ravel()
-                known = np.r_[0, np.cumsum(np.isin(part, self.known))]
-                some = known[up] - known[lo]
-                for k in np.argsort(-some, kind="stable").tolist():
-                    if some[k] < 0.5 * span:  # of more windows than this, no item of this size can have enough
-                        break
-                    for i in self.within(int(prints[k])).tolist():
-                        if self.size[i] == size:
-                            x = self.similarity(part[lo[k] : up[k]], i)
-                            if x >= THRESHOLD and x > best.get(i, (0.0,))[0]:
-                                best[i] = x, a + int(lo[k]), size
-        return [(i, *x) for i, x in sorted(best.items())]
+            at = np.array(own)
+            last = max(0, len(s) - span)
+            lo = np.arange(max(0, int(at[0]) - span + 1), min(last, int(at[-1])) + 1)  # all windows with a place
+            sums = np.r_[0.0, np.cumsum(weights)]
+            some = sums[np.searchsorted(at, lo + span)] - sums[np.searchsorted(at, lo)]
+            best = (0.0, 0)
+            for k in np.argsort(-some, kind="stable").tolist():
+                if some[k] < max(least, best[0] * self.total[i] - 1e-9):  # no further window can be similar enough, or more so
+                    break
+                x = self.similarity(s[lo[k] : lo[k] + span], i)
+                if x >= THRESHOLD and x > best[0]:
+                    best = x, int(lo[k])
+                if best[0] >= 1:
+                    break
+            if best[0]:
+                out.append((i, best[0], best[1], size))
+        return out
 
 
 _made: dict[int, Benchmark] = {}
@@ -138,7 +115,7 @@ def _block_of(items) -> Benchmark:
     """The block in this worker process; only the last one is kept."""
     if items.key not in _made:
         _made.clear()
-        _made[items.key] = Benchmark(items.value.value)
+        _made[items.key] = Benchmark(*items.value.value)
     return _made[items.key]
 
 
@@ -147,15 +124,30 @@ class _Items:
         self.key, self.value = key, value
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different shingles of each row's text, with its block."""
+    for b in batches:
+        hashes, at = words(b.column("text").to_pylist())
+        own = [np.unique(shingled(hashes[x:z])) for x, z in zip(at, at[1:], strict=False)]
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(np.repeat(b.column("block").to_numpy(), [len(x) for x in own]))], names=["s", "block"])
+
+
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[_Items]:
     """The benchmark in blocks of about block_bytes, each on its way to the workers."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
+    # equal texts are in one block
+    items = items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)))
+    held = items.select("text", "block").distinct().mapInArrow(_shingles, "s long, block long")
+    shared = held.groupBy("s").agg(F.count("*").alias("n"), F.collect_set("block").alias("blocks")).where("n > 1")
+    shared = written(shared) if blocks > 1 else shared
     for k in range(blocks):
-        own = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()]
-        yield _Items((k, hash(tuple(own))), spark.sparkContext.broadcast(own))
+        own = [(r["item_id"], r["text"]) for r in items.where(F.col("block") == k).orderBy("item_id", "text").collect()]
+        of = {r["s"] % (1 << 64): r["n"] for r in shared.where(F.array_contains("blocks", k)).collect()}  # shingles of the block at most
+        yield _Items((k, hash((tuple(own), tuple(sorted(of.items()))))), spark.sparkContext.broadcast((own, of)))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

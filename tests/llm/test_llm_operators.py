@@ -81,6 +81,25 @@ def test_decontamination(spark):
     assert decontamination.find_leaks(df.limit(0), bench).count() == 0 and decontamination.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_weights_are_of_the_whole_benchmark(spark):
+    """Near copies of repeated items and of items with a common template, with equal results whatever the blocks."""
+    word = lambda n, i: [f"w{random.Random(i * 1000 + k).randrange(10**6)}" for k in range(n)]
+    own, template = word(59, 1), word(40, 2)
+    items = [(i, " ".join(own)) for i in range(10)] + [(20 + i, " ".join(word(30, 30 + i) + template)) for i in range(8)] + [(40 + i, " ".join(word(25, 60 + i))) for i in range(20)]
+    changed = list(own)
+    changed[30] = "changed"
+    other = word(30, 30) + template
+    other[50] = "changed"  # in the template, which weighs little
+    less = word(30, 31) + template
+    less[4::5] = ["x"] * len(less[4::5])  # every shingle
+    texts = [(1, " ".join(word(7, 99) + changed + word(9, 98))), (2, " ".join(other)), (3, " ".join(template)), (4, " ".join(less)), (5, " ".join(word(25, 60)))]
+    df, bench = docs(spark, texts), docs(spark, items, "item_id long, text string")
+    whole, small = ({(r["doc_id"], r["item_id"], round(r["similarity"], 9), r["first_word"]) for r in decontamination.find_leaks(df, bench, n).collect()} for n in (8_000_000, 1500))
+    assert whole == small
+    assert {x[:2] for x in whole} == {(1, i) for i in range(10)} | {(2, 20), (5, 40)}
+    assert {x[2:] for x in whole if x[0] == 1} == {(round(50 / 60, 9), 7)}
+
+
 # -- 2
 
 
