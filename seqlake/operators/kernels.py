@@ -96,11 +96,13 @@ NAMES = ["score", "ident", "overlap", "q_start", "q_end", "t_start", "t_end", "q
 
 
 def kmer_candidates(queries: DataFrame, targets: DataFrame, k: int = 11, least: int = 1, frequent: int = 10_000) -> DataFrame:
-    """q_id, t_id of pairs that share at least `least` different words of k bases; words in more than `frequent` targets are left out of the seeds."""
+    """q_id, t_id of pairs that share at least `least` different words of k bases; words in more than `frequent` targets are joined in parts of about that many."""
     words = lambda df, name: df.where(F.length("seq") >= k).select(F.col("id").alias(name), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("seq") - k + 1), lambda i: F.substr(F.upper("seq"), i, F.lit(k))))).alias("word"))
     t = words(targets, "t_id")
-    rare = t.groupBy("word").count().where(F.col("count") <= frequent).select("word")
-    return words(queries, "q_id").join(t.join(rare, "word", "left_semi"), "word").groupBy("q_id", "t_id").agg(F.count("*").alias("words")).where(F.col("words") >= least)
+    crowded = t.groupBy("word").count().where(F.col("count") > frequent).select("word", F.ceil(F.col("count") / frequent).alias("parts"))
+    salted = lambda df, part: df.join(F.broadcast(crowded), "word", "left").withColumn("part", part(F.coalesce("parts", F.lit(1)))).drop("parts")
+    q = salted(words(queries, "q_id"), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    return q.join(salted(t, lambda n: F.pmod(F.xxhash64("t_id"), n)), ["word", "part"]).groupBy("q_id", "t_id").agg(F.count("*").alias("words")).where(F.col("words") >= least)
 
 
 def search(queries: DataFrame, targets: DataFrame, identity: float = 0.0, k: int = 11, least: int = 1, best_only: bool = False) -> DataFrame:

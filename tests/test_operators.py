@@ -113,6 +113,16 @@ def test_global_alignment(a, b):
     assert score == brute(a, b) and x.replace("-", "") == a and y.replace("-", "") == b and len(x) == len(y)
 
 
+def test_kmer_candidates_of_crowded_words(spark):
+    """Words in more targets than `frequent` still make pairs, each with its number of common words."""
+    q = spark.createDataFrame([("a", "ACGTACC"), ("b", "GGGGGGG"), ("c", "TTT")], "id string, seq string")
+    t = spark.createDataFrame([(f"t{i}", "ACGTACC" if i % 2 else "ACGTAGG") for i in range(40)] + [("u", "GGGGGC")], "id string, seq string")
+    want = {("a", f"t{i}"): 4 if i % 2 else 2 for i in range(40)} | {("b", "u"): 1}
+    for frequent in (3, 10_000):
+        got = kn.kmer_candidates(q, t, k=4, frequent=frequent).collect()
+        assert len(got) == len(want) and {(r["q_id"], r["t_id"]): r["words"] for r in got} == want
+
+
 def test_search(spark):
     target = "ACGTTGCAACGGTTACCATGGACTTGACCA"
     q = spark.createDataFrame([("q", target[5:25]), ("none", "T" * 20)], "id string, seq string")
