@@ -433,6 +433,28 @@ def barcode_failures(spark, d):
     return counts.where("outcome = 'fail_len'").select(F.col("outcome").alias("n"), F.col("n").alias("n_reads"))
 
 
+@query()
+def shown_differences(spark, d):
+    """Whole strings, with the operator's own results for both sides."""
+    diff = al.shown_difference(F.col("p_name"), F.col("p_brand"))
+    return t(spark, d, "part").select("p_partkey", "p_name", "p_brand", diff["q"].alias("q"), diff["t"].alias("t"))
+
+
+def _split_barcodes(spark, d) -> tuple[DataFrame, DataFrame]:
+    return ao.split_barcodes(t(spark, d, "part").select("p_partkey", F.col("p_name").alias("seq")), {"a": "part", "b": "x1y2"}, least=8)
+
+
+@query()
+def barcode_reads(spark, d):
+    """All reads within the bounds, with their samples."""
+    return _split_barcodes(spark, d)[0]
+
+
+@query()
+def barcode_counts(spark, d):
+    return _split_barcodes(spark, d)[1]
+
+
 @query()
 def local_alignments(spark, d):
     p = t(spark, d, "supplier").selectExpr("cast(s_suppkey as string) as id", "translate(concat(s_name, s_name, cast(s_suppkey * 7919 as string)), '0123456789Suplier#', 'ACGTACGTACACGTACG') as seq")

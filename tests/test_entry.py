@@ -40,3 +40,32 @@ def test_native_plans(spark):
     for name in ("run_length_encode", "consensus", "valid_hits_of_queries", "dedup_weights", "taxon_thresholds"):
         plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_shown_differences(spark):
+    from seqlake.functions.alignment import ALIKE
+
+    got = entry.queries()["shown_differences"](spark, DATA).collect()
+    assert len(got) == spark.read.parquet(f"{DATA}/part.parquet").count()
+    for r in got:
+        q, t = "", ""
+        for i in range(max(len(r["p_name"]), len(r["p_brand"]))):
+            a, b = r["p_name"][i : i + 1], r["p_brand"][i : i + 1]
+            same = a and b and (a.upper() == b.upper() or b.upper() in ALIKE.get(a.upper(), ""))
+            q += "." if same else a.lower()
+            t += b if same else b.lower()
+        assert (r["q"], r["t"]) == (q, t)
+
+
+def test_barcode_reads_and_counts(spark):
+    names = {r["p_partkey"]: r["p_name"] for r in spark.read.parquet(f"{DATA}/part.parquet").collect()}
+    got = {r["p_partkey"]: r for r in entry.queries()["barcode_reads"](spark, DATA).collect()}
+    assert set(got) == {k for k, s in names.items() if len(s) >= 8}
+    counts = {"fail_len": len(names) - len(got), "total_matched": 0}
+    for k, r in got.items():
+        head = names[k][:20]
+        exact = next(((n, head.find(c)) for n, c in (("a", "part"), ("b", "x1y2")) if c in head), None)
+        assert (r["kind"] == "exact") == (exact is not None) and (exact is None or (r["sample"], r["bc_start"]) == exact)
+        counts[r["sample"] or "no_match"] = counts.get(r["sample"] or "no_match", 0) + 1
+        counts["total_matched"] += r["sample"] is not None
+    assert {r["outcome"]: r["n"] for r in entry.queries()["barcode_counts"](spark, DATA).collect()} == counts
