@@ -64,6 +64,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(id_col: str, parts: int, part: int):
     """Whether crc32 of the id as text, modulo parts, is part. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts == part, F.lit(False))
