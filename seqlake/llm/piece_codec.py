@@ -33,8 +33,8 @@ from seqlake.llm.common import appended
 MARK = "▁"
 LETTER = r"[^\W\d_]"
 #: Words whose encoding a worker keeps; when as many are kept anew, the older ones go.
-CACHE_WORDS = 150_000
-CACHE_PAIRS = 600_000
+CACHE_WORDS = 60_000
+CACHE_PAIRS = 250_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
