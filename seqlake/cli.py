@@ -46,7 +46,7 @@ def csv2fasta(spark, a):
 
 @command
 def rlencode(spark, a):
-    s = src.read_fasta(spark, a.input, a.limit)
+    s = src.read_fasta(spark, a.input, a.limit).withColumn("seq", sq.without_gap(F.col("seq")))
     sinks.write_table(s.select("id", "description", sq.collapse_runs(F.col("seq")).alias("seq"), sq.encode_lengths(sq.run_lengths(F.col("seq"))).alias("rle")), a.out)
 
 

@@ -116,10 +116,13 @@ ALIKE = {c: "".join(sorted(d for d, e in IUPAC.items() if set(b) & set(e))) for
 
 
 def shown_difference(query: Column, target: Column) -> Column:
-    """struct(q, t): where the two agree (ambiguity codes agree if they share a base) q has `.`, else both are in small letters."""
+    """struct(q, t): where the two agree (codes in capitals agree if they share a base) q has `.`, else both are in small
+    letters. As far as the shorter of the two goes."""
     alike = F.create_map(*[F.lit(x) for kv in ALIKE.items() for x in kv])
-    same = lambda a, b: (F.upper(a) == F.upper(b)) | F.coalesce(F.contains(alike[F.upper(a)], F.upper(b)), F.lit(False))
-    pick = lambda f: F.array_join(F.zip_with(characters(query), characters(target), f), "")
+    same = lambda a, b: (a == b) | F.coalesce(F.contains(F.try_element_at(alike, a), b), F.lit(False))
+    n = F.least(F.length(query), F.length(target))
+    q, t = (characters(F.substr(x, F.lit(1), n)) for x in (query, target))
+    pick = lambda f: F.array_join(F.zip_with(q, t, f), "")
     return F.struct(pick(lambda a, b: F.when(same(a, b), ".").otherwise(F.lower(a))).alias("q"), pick(lambda a, b: F.when(same(a, b), b).otherwise(F.lower(b))).alias("t"))
 
 

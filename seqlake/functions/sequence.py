@@ -18,6 +18,11 @@ def characters(s: Column) -> Column:
     return F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.split(s, ""))
 
 
+def without_gap(s: Column) -> Column:
+    """The sequence; an error where it has a gap, which run-length encoding can't take."""
+    return F.when(s.contains(GAP), F.raise_error(F.concat(F.lit("gap in a sequence to encode: "), s)).cast("string")).otherwise(s)
+
+
 def run_lengths(s: Column) -> Column:
     """Lengths of the runs of equal characters."""
     return F.transform(F.regexp_extract_all(F.upper(s), F.lit(r"(?s)((.)\2*)"), F.lit(1)), F.length)

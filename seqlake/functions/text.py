@@ -7,17 +7,21 @@ import csv
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words in organism names that mark an unclassified or artificial origin.
+# Patterns, read with regard to case, of names that mark an unclassified or artificial origin.
 UNCLASSIFIED = (
-    r"\b[cC]andidatus\b", r"\bcandidate division\b", r"\bacidobacteria\b", r"\bactinobacterium\b", r"\bbacterium\b", r"\bclone\b", r"\bcloning\b", r"\bcluster\b",
-    r"\bconstruct\b", r"\bcrop\b", r"\benrichment\b", r"\benvironmental\b", r"\bgroup\b", r"\bidentification\b", r"\bisolate\b", r"\bphytoplasma\b", r"\bplasmid\b",
-    r"\bsample\b", r"\bsp\.?\b", r"\bspecies\b", r"\bsubspecies\b", r"\bstr\.", r"\bstrain\b", r"\btaxon\b", r"\buncultured\b", r"\bunculturable\b", r"\bunidentified\b", r"\bunclassified\b",
-    r"\bunknown\b", r"\bunspecified\b", r"\bvector\b", r"\d\d",
+    r"-like", r"Taxon\d\d", r"acidophile", r"actinobacterium", r"aerobic", r"\b[Al]g(um|a)\b", r"\b[Bb]acteri(um|a)", r"Barophile", r"cyanobacterium", r"Chloroplast",
+    r"[Cc]lone", r"[Cc]loning", r"cluster", r"-containing", r"environmental", r"epibiont", r"eubacterium", r"\b[Gg]roup\b", r"halophilic", r"hydrothermal\b", r"isolate",
+    r"marine", r"methanotroph", r"microorganism", r"mollicute", r"pathogen", r"[Pp]hytoplasma", r"proteobacterium", r"putative", r"\bsp\.", r"species", r"spirochete", r"str\.",
+    r"strain", r"symbiont", r"taxon", r"unicellular", r"uncultured", r"unclassified", r"unidentified", r"unknown", r"vector\b", r"vent\b",
 )
+#: What older software looked for in place of some of these patterns: two of them run together, and a control character.
+OLD_PATTERNS = {r"str\.": r"str\.strain", r"strain": None, r"vector\b": "vector\x08"}
 
 
-def is_unclassified(name: Column) -> Column:
-    return F.coalesce(F.lower(name).rlike("|".join(UNCLASSIFIED)), F.lit(False))
+def is_unclassified(name: Column, old: bool = False) -> Column:
+    """Whether a name holds one of the patterns; old: with OLD_PATTERNS, for results like those of older software."""
+    found = [OLD_PATTERNS.get(x, x) if old else x for x in UNCLASSIFIED]
+    return F.coalesce(name.rlike("|".join(x for x in found if x)), F.lit(False))
 
 
 def is_type_strain(description: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqlake.functions.alignment import coverage_fraction, error_category, itemize_errors, match_barcode, primer_position, shown_difference
 from seqlake.functions.sequence import GAP, RUN_GAP, between, characters, count_ambiguous, mean_phred, reverse_complement
-from seqlake.functions.text import is_type_strain, is_unclassified, safe_name
+from seqlake.functions.text import is_type_strain, is_unclassified, safe_name, taxid_of_features
 
 # Names of a database search's columns as those of an alignment table.
 SEARCH_NAMES = {"query": "q_name", "target": "t_name", "identity": "sw_ident", "length": "sw_overlap", "qstart": "q_al_start", "qend": "q_al_stop", "tstart": "t_al_start", "tend": "t_al_stop"}
@@ -30,9 +30,11 @@ def top_hits(alignments: DataFrame) -> DataFrame:
 
 
 def with_difference(alignments: DataFrame) -> DataFrame:
-    """alignments with q_diff, t_diff over the aligned slices (q_al_start .. q_al_stop, t_al_start .. t_al_stop, from 1)."""
-    q = F.substr("q_seq", F.col("q_al_start"), F.col("q_al_stop") - F.col("q_al_start") + 1)
-    t = F.substr("t_seq", F.col("t_al_start"), F.col("t_al_stop") - F.col("t_al_start") + 1)
+    """alignments with q_diff, t_diff over the aligned slices (q_al_start .. q_al_stop, t_al_start .. t_al_stop, from 1) of
+    the sequences without their outer gaps."""
+    inner = lambda c: F.regexp_replace(c, f"^{GAP}+|{GAP}+$", "")
+    q = F.substr(inner("q_seq"), F.col("q_al_start"), F.col("q_al_stop") - F.col("q_al_start") + 1)
+    t = F.substr(inner("t_seq"), F.col("t_al_start"), F.col("t_al_stop") - F.col("t_al_start") + 1)
     return alignments.withColumn("__d", shown_difference(q, t)).withColumns({"q_diff": F.col("__d.q"), "t_diff": F.col("__d.t")}).drop("__d")
 
 
@@ -57,24 +59,26 @@ def error_tallies(alignments: DataFrame) -> DataFrame:
 
 
 def run_transitions(errors: DataFrame, most: int = 6) -> DataFrame:
-    """base, ref_length and a column for each query length: how runs of a base were read. Lengths of `most` and more count as geq<most>; base `total` sums the bases."""
-    runs = errors.where(F.col("ref").rlike("^([ACGT])\\1*=*$") & F.col("query").rlike("^[ACGT=-]*$")).where(~F.col("query").contains(GAP) | F.col("query").rlike("^-+$"))
-    size = lambda c: F.length(F.regexp_replace(c, f"[{GAP}{RUN_GAP}]", ""))
-    capped = lambda c: F.when(size(c) >= most, F.lit(f"geq{most}")).otherwise(size(c).cast("string"))
-    rows = runs.select(F.explode(F.array(F.substr("ref", F.lit(1), F.lit(1)), F.lit("total"))).alias("base"), capped("ref").alias("ref_length"), capped("query").alias("q"))
+    """base, ref_length and a column for each query length: how runs of a base were read, from none at all (row 0: a base
+    that the reference lacks). Pieces with more than one letter, outer gaps aside, don't count. Lengths of `most` and more
+    count as geq<most>; base `total` sums the bases."""
+    inner = lambda c: F.regexp_replace(c, f"^[{GAP}{RUN_GAP}]+|[{GAP}{RUN_GAP}]+$", "")
+    runs = errors.select(inner("ref").alias("r"), inner("query").alias("q")).where(F.concat("r", "q").rlike(r"(?s)^(.)\1*$"))
+    capped = lambda c: F.when(F.length(c) >= most, F.lit(f"geq{most}")).otherwise(F.length(c).cast("string"))
+    base = F.substr(F.concat("r", "q"), F.lit(1), F.lit(1))
+    rows = runs.select(F.explode(F.array(base, F.lit("total"))).alias("base"), capped("r").alias("ref_length"), capped("q").alias("q"))
     return rows.groupBy("base", "ref_length").pivot("q", [*map(str, range(most)), f"geq{most}"]).count().fillna(0)
 
 
 def positions(alignments: DataFrame, side: str, include: bool, least: int | None = None, most: int | None = None, score: float | None = None, where: str | None = None) -> DataFrame:
-    """name, position of the first alignment of each read that passes; where: an SQL condition over its columns."""
-    rows = alignments
+    """name, position of each read's first alignment, if that passes; where: an SQL condition over its columns."""
+    first = top_hits(alignments)
     if least is not None:
-        rows = rows.where(F.col("q_al_start") >= least)
+        first = first.where(F.col("q_al_start") >= least)
     if most is not None:
-        rows = rows.where(F.col("q_al_start") <= most)
+        first = first.where(F.col("q_al_start") <= most)
     if score is not None:
-        rows = rows.where(F.col("sw_zscore") >= score)
-    first = top_hits(rows)
+        first = first.where(F.col("sw_zscore") >= score)
     if where:
         first = first.where(F.expr(where))
     frame = F.col("sw_frame") if "sw_frame" in alignments.columns else F.lit("f")
@@ -154,28 +158,35 @@ def split_barcodes(reads: DataFrame, barcodes: dict[str, str], window: int = 20,
 
 
 def record_sequences(records: DataFrame, region: tuple[int, int] | None = None, feature: str | None = None, product: list[str] | None = None, minus: bool = False, least: int | None = None, most: int | None = None, max_ambiguous: int | None = None, types_only: bool = False, classified_only: bool = False) -> DataFrame:
-    """id, description, seq of flat-file records: whole, a region (from 1), or their features of one type."""
+    """id, accession, description, seq of flat-file records: whole, a region (start from 0, end excluded), or their features
+    of one type or with one of the products.
+
+    A feature on the minus strand is turned, and a whole record or region by the strand of its source feature; with minus
+    those on the plus strand are turned as well. Records without a source feature stay as they are.
+    """
     rows = records
     if types_only:
         rows = rows.where(is_type_strain(F.col("description")))
     if classified_only:
         rows = rows.where(~is_unclassified(F.col("description")))
-    if feature:
-        rows = rows.select("name", "description", "seq", F.explode(F.filter("features", lambda f: f["type"] == feature)).alias("f"))
+    turned = lambda strand: F.coalesce((strand == -1) | (F.lit(minus) & (strand == 1)), F.lit(False))
+    if feature or product:
+        rows = rows.select("name", "id", "description", "seq", "features", F.explode("features").alias("f"))
+        if feature:
+            rows = rows.where(F.col("f.type") == feature)
         if product:
-            rows = rows.where(F.arrays_overlap(F.coalesce(F.col("f.qualifiers")["product"], F.array().cast("array<string>")), F.array(*[F.lit(p) for p in product])))
+            rows = rows.where(F.arrays_overlap(F.coalesce(F.try_element_at("f.qualifiers", F.lit("product")), F.array().cast("array<string>")), F.array(*[F.lit(p) for p in product])))
         cut = between(F.col("seq"), F.col("f.start"), F.col("f.end"))
-        turn = (F.col("f.strand") == -1) | (F.lit(minus) & (F.col("f.strand") == 1))
-        tag = F.coalesce(F.get(F.col("f.qualifiers")["locus_tag"], F.lit(0)), F.lit("unspecified"))
-        out = rows.select(F.concat_ws("_", "name", tag).alias("id"), "description", F.when(turn, reverse_complement(cut)).otherwise(cut).alias("seq"))
-        if max_ambiguous is not None:
-            out = out.where(count_ambiguous(F.col("seq")) <= max_ambiguous)
-    elif region:
-        a, b = region
-        cut = between(F.col("seq"), F.lit(a - 1), F.lit(b))
-        out = rows.select(F.concat_ws("_", "name", F.lit(a), F.lit(b)).alias("id"), "description", (reverse_complement(cut) if minus else cut).alias("seq"))
+        tag = F.coalesce(F.get(F.try_element_at("f.qualifiers", F.lit("locus_tag")), F.lit(0)), F.lit("unspecified"))
+        name, turn = F.concat_ws("_", "name", tag), turned(F.col("f.strand"))
     else:
-        out = rows.select(F.col("name").alias("id"), "description", (reverse_complement(F.col("seq")) if minus else F.col("seq")).alias("seq"))
+        turn = turned(F.get(F.filter("features", lambda f: f["type"] == "source"), F.lit(0))["strand"])
+        cut, name = F.col("seq"), F.col("name")
+        if region:
+            cut, name = between(F.col("seq"), F.lit(region[0]), F.lit(region[1])), F.concat_ws("_", "name", F.lit(region[0]), F.lit(region[1]))
+    out = rows.select(name.alias("id"), F.col("id").alias("accession"), "description", F.when(turn, reverse_complement(cut)).otherwise(cut).alias("seq"), "features")
+    if (feature or product) and max_ambiguous is not None:
+        out = out.where(count_ambiguous(F.col("seq")) <= max_ambiguous)
     if least is not None:
         out = out.where(F.length("seq") >= least)
     if most is not None:
@@ -183,6 +194,11 @@ def record_sequences(records: DataFrame, region: tuple[int, int] | None = None,
     return out
 
 
+def record_info(sequences: DataFrame) -> DataFrame:
+    """seqname, tax_id, accession, description, length, ambig_count of record_sequences()."""
+    return sequences.select(F.col("id").alias("seqname"), taxid_of_features(F.col("features")).alias("tax_id"), "accession", "description", F.length("seq").alias("length"), count_ambiguous(F.col("seq")).alias("ambig_count"))
+
+
 def edit_tree(trees: DataFrame, names: dict[str, str] | None = None, remove: str | None = None, prefix: str = "", suffix: str = "") -> DataFrame:
     """Trees with new leaf names; with names only the leaves found there are edited. names: bounded by one tree's leaves."""
     from seqlake.functions.text import newick_name

@@ -162,9 +162,15 @@ def subsequence(spark, d):
     return t(spark, d, "part").select("p_partkey", sq.between(F.col("p_name"), F.lit(2), F.lit(7)).alias("part"), sq.looks_like_lengths(F.col("p_name")).alias("is_lengths"))
 
 
-@query("select p_partkey, replace(replace(replace(p_name, ':', '|'), ' ', '_'), 'x', '') as leaf, regexp_matches(lower(p_name), '\\bgroup\\b|\\bstrain\\b|\\d\\d') as doubtful, replace(p_type, ':', '_') as safe from part")
+_MARKS = ["Bacillus-like", "marine organism", "putative Vibrio", "Escherichia coli ATCC 25922", "uncultured bacterium", "Taxon12", "Rothia sp. x", "vector pUC", "vectors", "hydrothermal vent", "strain K12", "Alga", "Rothia mucilaginosa", "subgroups", "Group A", "str. 5"]
+
+
+@query(f"""with n as (select *, {_MARKS}[p_partkey % {len(_MARKS)} + 1] || ' ' || p_size::varchar as name from part)
+    select p_partkey, replace(replace(replace(p_name, ':', '|'), ' ', '_'), 'x', '') as leaf, regexp_matches(name, '{"|".join(tf.UNCLASSIFIED)}') as doubtful, replace(p_type, ':', '_') as safe from n""")
 def names(spark, d):
-    return t(spark, d, "part").select("p_partkey", F.regexp_replace(tf.newick_name(F.col("p_name")), "x", "").alias("leaf"), tf.is_unclassified(F.col("p_name")).alias("doubtful"), tf.safe_name(F.col("p_type")).alias("safe"))
+    marks = F.array(*[F.lit(x) for x in _MARKS])
+    name = F.concat(F.get(marks, (F.col("p_partkey") % len(_MARKS)).cast("int")), F.lit(" "), F.col("p_size").cast("string"))
+    return t(spark, d, "part").select("p_partkey", F.regexp_replace(tf.newick_name(F.col("p_name")), "x", "").alias("leaf"), tf.is_unclassified(name).alias("doubtful"), tf.safe_name(F.col("p_type")).alias("safe"))
 
 
 # -- de-duplication and clusters -------------------------------------------------------------------------------------
@@ -399,10 +405,17 @@ def primer_positions(spark, d):
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", al.primer_position("left", False, a, b, forward).alias("left"), al.primer_position("left", True, a, b, forward).alias("left_in"), al.primer_position("right", False, a, b, f).alias("right"), al.primer_position("right", True, a, b, f).alias("right_in"))
 
 
-@query("select p_partkey, case when p_name[1] = p_brand[1] then '.' else lower(p_name[1]) end as q from part")
+_LIKE_SQL = """case q when 'A' then t in ('A','R','M','W','H','V','D','N') when 'C' then t in ('C','Y','M','S','H','B','V','N') when 'G' then t in ('G','R','K','S','B','V','D','N') when 'T' then t in ('T','Y','K','W','H','B','D','N')
+    when 'R' then t not in ('C','T','Y') when 'N' then true else q = t end"""
+
+
+@query(f"""with s as (select p_partkey, translate(p_partkey::varchar || '0123456789', '0123456789', 'ACGTRNacg-') a, translate('3141592653' || p_size::varchar, '0123456789', 'ACGTACGTRN') b from part),
+    e as (select p_partkey, a, b, unnest(range(1, least(length(a), length(b)) + 1)) i from s), c as (select p_partkey, i, a[i] q, b[i] t from e),
+    d as (select *, q = t or (q in ('A','C','G','T','R','N') and {_LIKE_SQL}) same from c)
+    select p_partkey, string_agg(case when same then '.' else lower(q) end, '' order by i) as q, string_agg(case when same then t else lower(t) end, '' order by i) as t from d group by p_partkey""")
 def differences(spark, d):
-    diff = al.shown_difference(F.translate(F.substr("p_name", F.lit(1), F.lit(1)), "ACGTMRWSYKVHDBN", "acgtmrwsykvhdbn"), F.translate(F.substr("p_brand", F.lit(1), F.lit(1)), "", ""))
-    return t(spark, d, "part").select("p_partkey", F.when(F.substr("p_name", F.lit(1), F.lit(1)) == F.substr("p_brand", F.lit(1), F.lit(1)), diff["q"]).otherwise(F.lower(F.substr("p_name", F.lit(1), F.lit(1)))).alias("q"))
+    seqs = t(spark, d, "part").select("p_partkey", F.translate(F.concat(F.col("p_partkey").cast("string"), F.lit("0123456789")), "0123456789", "ACGTRNacg-").alias("a"), F.translate(F.concat(F.lit("3141592653"), F.col("p_size").cast("string")), "0123456789", "ACGTACGTRN").alias("b"))
+    return seqs.select("p_partkey", al.shown_difference(F.col("a"), F.col("b")).alias("x")).select("p_partkey", "x.*")
 
 
 @query("""with p as (select o_orderstatus a, o_orderpriority b, o_totalprice score from orders), m as (select * from p union all select b, a, score from p)

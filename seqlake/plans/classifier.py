@@ -64,9 +64,16 @@ def classify(
     min_identity: float | None = None,
     max_identity: float | None = None,
     min_coverage: float | None = None,
+    details_full: bool = False,
+    include_ref_rank: list[str] | None = None,
+    hits_below_threshold: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(summary, details) of hits (qseqid, sseqid, pident, qcovs, mismatch).
 
+    Details are the hits of the heaviest query of each assignment and threshold (of several the first by `_ord`, where hits
+    have it, else by qseqid), of all queries with details_full; include_ref_rank adds <rank>_id and <rank>_name of the
+    reference's lineage, hits_below_threshold the known hits that didn't decide their query. Details are sorted by all columns.
+
     seq_info: seqname, tax_id, accession. thresholds: tax_id and a column for each rank. weights: qseqid, weight.
     copies: tax_id, median, with a row for the root '1'. Queries without a deciding hit are counted as [no blast result].
     """
@@ -78,7 +85,8 @@ def classify(
     asked = named.select(*QUERY).distinct()
     known = raw_filters(named, min_identity, max_identity, min_coverage).where("sseqid is not null")
     info = seq_info.select(F.col("seqname").alias("sseqid"), "tax_id", "accession")
-    valid = select_valid_hits(known.join(info, "sseqid").join(taxa, "tax_id"))
+    placed = known.join(info, "sseqid").join(taxa, "tax_id")
+    valid = select_valid_hits(placed)
     if best_n is not None:
         rank = F.rank().over(Window.partitionBy(*QUERY).orderBy("mismatch"))
         valid = valid.where("mismatch is not null").withColumn("__n", rank).where(F.col("__n") <= best_n).drop("__n")
@@ -115,12 +123,27 @@ def classify(
     out = out.withColumn("assignment_id", (F.row_number().over(order) - 1).cast("string"))
     more = ["corrected", "pct_corrected"] if copies is not None else []
     summary = out.select("specimen", "assignment_id", "assignment", "max_percent", "min_percent", "min_threshold", "best_rank", "reads", "clusters", "pct_reads", *more)
-    largest = weighed.groupBy(*by).agg(F.max_by("qseqid", F.struct(F.col("weight"), -F.xxhash64("qseqid"))).alias("qseqid"))
-    detail = hit.join(largest, [*by, "qseqid"], "left_semi").join(out.select(*by, "assignment_id", "assignment"), by)
+    place = F.min("_ord") if "_ord" in hits.columns else F.min("qseqid")
+    weight = every.groupBy(*by, "qseqid", F.coalesce("assignment_threshold", F.lit(0.0)).alias("thr")).agg(place.alias("place"))
+    weight = weight.join(weighed.select(*by, "qseqid", "weight"), [*by, "qseqid"])
+    first = weight.groupBy(*by, "thr").agg(F.min_by("qseqid", F.struct(-F.col("weight"), F.col("place"))).alias("qseqid")).select(*by, "qseqid").distinct()
+    chosen = every if details_full else every.join(first, [*by, "qseqid"], "left_semi")
+    detail = chosen.join(out.select(*by, "assignment_id", "assignment"), by)
     own = taxonomy.select(F.col("tax_id").alias("assignment_tax_id"), F.col("tax_name").alias("assignment_tax_name"), F.col("rank").alias("assignment_rank"))
     detail = detail.join(own, "assignment_tax_id", "left").join(stars.select(*by, "condensed_id", "starred"), [*by, "condensed_id"], "left")
-    details = detail.select("specimen", "assignment_id", "tax_name", "rank", "assignment_tax_name", "assignment_rank", "pident", "tax_id", "assignment_tax_id", "condensed_id", "accession", "qseqid", "sseqid", "starred", "assignment_threshold").distinct()
-    return summary, details
+    columns = ["specimen", "assignment_id", "tax_name", "rank", "assignment_tax_name", "assignment_rank", "pident", "tax_id", "assignment_tax_id", "condensed_id", "accession", "qseqid", "sseqid", "starred", "assignment_threshold"]
+    details = detail.select(*columns).distinct()
+    if hits_below_threshold:
+        kept = valid.select("specimen", "qseqid", "sseqid", "pident", "mismatch").distinct()
+        rest = placed.join(kept, ["specimen", "qseqid", "sseqid", "pident"], "left_anti")
+        below = rest.select([c for c in columns if c in rest.columns]).join(details.select("specimen", "qseqid", "assignment_threshold").distinct(), ["specimen", "qseqid"], "left")
+        details = details.unionByName(below, allowMissingColumns=True)
+    for r in include_ref_rank or []:
+        ids = taxonomy.select("tax_id", F.col(r).alias(f"{r}_id"))
+        ref = taxonomy.select(F.col("tax_id").alias(f"{r}_id"), F.col("tax_name").alias(f"{r}_name"))
+        details = details.join(ids, "tax_id", "left").join(ref, f"{r}_id", "left")
+        columns += [f"{r}_id", f"{r}_name"]
+    return summary, details.select(*columns).orderBy(*[F.asc_nulls_last(c) for c in columns])
 
 
 def classify_by_identity(

@@ -26,14 +26,19 @@ def limited(df: DataFrame, limit: int | None) -> DataFrame:
     return df if limit is None else df.orderBy("_ord").limit(limit)
 
 
-def read_fasta(spark: SparkSession, path: str | list[str], limit: int | None = None) -> DataFrame:
-    """id, description, seq, _ord. Records without sequence stay, save the last one of a file."""
+def read_fasta(spark: SparkSession, path: str | list[str], limit: int | None = None, drop_last_empty: bool = True) -> DataFrame:
+    """id, description, seq, _ord. Records without sequence stay, save the last one of a file (for which files are read
+    once more; without drop_last_empty it stays too)."""
     raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("value"), _ord().alias("_ord"))
     text = F.regexp_replace(F.regexp_replace("value", "\r", ""), "^>", "")
     parts = raw.select(F.split(text, "\n", 2).alias("p"), "_ord").where(F.trim(F.col("p")[0]) != "")
     head = F.trim(F.col("p")[0])
     seq = F.regexp_replace(F.coalesce(F.get("p", F.lit(1)), F.lit("")), r"\s", "")
-    return limited(parts.select(F.split(head, r"\s+", 2)[0].alias("id"), head.alias("description"), seq.alias("seq"), "_ord"), limit)
+    out = parts.select(F.split(head, r"\s+", 2)[0].alias("id"), head.alias("description"), seq.alias("seq"), "_ord")
+    if drop_last_empty:
+        last = out.groupBy(F.col("_ord.file")).agg(F.max(F.struct(F.col("_ord").alias("_ord"), (F.col("seq") == "").alias("empty"))).alias("last"))  # a row for each file
+        out = out.join(last.where("last.empty").select("last._ord"), "_ord", "left_anti").select("id", "description", "seq", "_ord")
+    return limited(out, limit)
 
 
 def read_fastq(spark: SparkSession, path: str | list[str], limit: int | None = None) -> DataFrame:
@@ -77,13 +82,17 @@ def read_lookup(df: DataFrame, key: str, *values: str) -> DataFrame:
 
 def read_scores(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """name, len, total, struct, prob of an alignment-score listing: the rows between its first and second block of comments."""
-    whole = spark.read.text(path, wholetext=True).select(F.split("value", "\n").alias("l"))
-    rows = whole.select(F.col("l"), F.posexplode("l").alias("i", "line"))
-    # comment blocks: lines with # whose predecessor has none
-    block = F.aggregate(F.slice("l", 1, F.col("i") + 1), F.struct(F.lit(0).alias("n"), F.lit(False).alias("in_")), lambda a, x: F.struct((a["n"] + F.when(x.startswith("#") & ~a["in_"], 1).otherwise(0)).alias("n"), x.startswith("#").alias("in_")), lambda a: a["n"])
-    body = rows.where(~F.col("line").startswith("#") & (F.trim("line") != "")).withColumn("block", block).where("block = 1")
+    lines = spark.read.text(path).select(F.col("value").alias("line"), _ord().alias("_ord"))
+    # the rows follow the first comment line and end at the next comment line after any row: linear, and in any number of tasks
+    seen = lines.where("line like '#%'").select("_ord")
+    body = lines.where("line not like '#%' and trim(line) <> ''")
+    spans = seen.groupBy(F.col("_ord.file").alias("file")).agg(F.min("_ord").alias("first"))  # a row for each file
+    after = body.join(spans, F.col("_ord.file") == F.col("file")).where(F.col("_ord") > F.col("first"))
+    begin = after.groupBy("file").agg(F.min("_ord").alias("begin"))
+    end = seen.join(begin, F.col("_ord.file") == F.col("file")).where(F.col("_ord") > F.col("begin")).groupBy("file").agg(F.min("_ord").alias("end"))
+    rows = after.join(end, "file", "left").where(F.col("end").isNull() | (F.col("_ord") < F.col("end")))
     part = F.split(F.trim("line"), r"\s+")
-    return body.select(part.alias("p")).selectExpr("p[1] as name", "cast(p[2] as int) as len", "cast(p[3] as double) as total", "cast(p[4] as double) as struct", "cast(p[5] as double) as prob")
+    return rows.select(part.alias("p")).selectExpr("p[1] as name", "cast(p[2] as int) as len", "cast(p[3] as double) as total", "cast(p[4] as double) as struct", "cast(p[5] as double) as prob")
 
 
 def read_alignments(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -49,9 +49,8 @@ def test_shown_differences(spark):
     assert len(got) == spark.read.parquet(f"{DATA}/part.parquet").count()
     for r in got:
         q, t = "", ""
-        for i in range(max(len(r["p_name"]), len(r["p_brand"]))):
-            a, b = r["p_name"][i : i + 1], r["p_brand"][i : i + 1]
-            same = a and b and (a.upper() == b.upper() or b.upper() in ALIKE.get(a.upper(), ""))
+        for a, b in zip(r["p_name"], r["p_brand"], strict=False):
+            same = a == b or b in ALIKE.get(a, "")
             q += "." if same else a.lower()
             t += b if same else b.lower()
         assert (r["q"], r["t"]) == (q, t)

@@ -105,6 +105,12 @@ def test_difference(spark):
     assert (r["q"], r["t"]) == (".c..", "AtGT")
 
 
+def test_gap_before_encoding(spark):
+    assert one(spark, sq.without_gap(F.col("s")), s="ACGT") == "ACGT"
+    with pytest.raises(Exception, match="gap in a sequence"):
+        one(spark, sq.without_gap(F.col("s")), s="AC-T")
+
+
 def test_coverages(spark):
     r = spark.range(1).select(al.coverage_percent(F.lit(1), F.lit(50), F.lit(100)), al.coverage_open(F.lit(0), F.lit(50), F.lit(100)), al.coverage_fraction(F.lit(1), F.lit(40), F.lit(80))).first()
     assert tuple(r) == (50.0, 0.5, 0.5)
@@ -124,6 +130,10 @@ def test_text(spark):
     assert one(spark, tf.safe_name(F.col("s")), s="a:b") == "a_b"
     assert one(spark, tf.newick_name(F.col("s"), "p_"), s=" a:b c ") == "p_a|b_c"
     assert one(spark, tf.is_unclassified(F.col("s")), s="uncultured bacterium") and not one(spark, tf.is_unclassified(F.col("s")), s="Rothia mucilaginosa")
+    said = ["Bacillus-like", "marine organism", "putative Vibrio", "Taxon12", "Rothia sp. x", "vector", "strain K12", "str. 5", "Aga"]
+    names = spark.createDataFrame([(x,) for x in [*said, "Escherichia coli ATCC 25922", "Uncultured", "vectors", "subgroups"]], "s string")
+    assert [r[0] for r in names.where(tf.is_unclassified(F.col("s"))).collect()] == said
+    assert {r[0] for r in names.where(tf.is_unclassified(F.col("s"), old=True)).collect()} == set(said) - {"vector", "strain K12", "str. 5"}
     assert one(spark, tf.is_type_strain(F.col("s")), s="x (T) y")
     f = spark.createDataFrame([([("source", {"db_xref": ["x:1", "taxon:123"]})],)], "f array<struct<type:string,qualifiers:map<string,array<string>>>>")
     assert f.select(tf.taxid_of_features(F.col("f"))).first()[0] == "123"

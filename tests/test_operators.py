@@ -213,6 +213,28 @@ def test_alignment_tables(spark):
     assert ao.with_difference(ao.top_hits(al)).where("q_name = 'q1'").first()["q_diff"].startswith(".c")
 
 
+def test_differences_without_outer_gaps(spark):
+    al = spark.createDataFrame([("q", "--ACGT", "--ACTT", 1, 4, 1, 4)], "q_name string, q_seq string, t_seq string, q_al_start int, q_al_stop int, t_al_start int, t_al_stop int")
+    r = ao.with_difference(al).first()
+    assert (r["q_diff"], r["t_diff"]) == ("..g.", "ACtT")
+
+
+def test_run_transitions(spark):
+    pieces = [("A", "A"), ("A", "T"), ("-", "A"), ("AA=", "AAA"), ("C", "-"), ("GG", "G="), ("A-A", "AAA"), ("TTTTTTT", "TTTTTTT"), ("A", "AC")]
+    errors = spark.createDataFrame([("q", "t", i, r, q, "") for i, (r, q) in enumerate(pieces)], "q_name string, t_name string, i int, ref string, query string, category string")
+    got = {(r["base"], r["ref_length"]): {k: v for k, v in r.asDict().items() if k not in ("base", "ref_length") and v} for r in ao.run_transitions(errors).collect()}
+    assert got == {
+        ("A", "0"): {"1": 1}, ("A", "1"): {"1": 1}, ("A", "2"): {"3": 1}, ("C", "1"): {"0": 1}, ("G", "2"): {"1": 1}, ("T", "geq6"): {"geq6": 1},
+        ("total", "0"): {"1": 1}, ("total", "1"): {"0": 1, "1": 1}, ("total", "2"): {"1": 1, "3": 1}, ("total", "geq6"): {"geq6": 1},
+    }
+
+
+def test_positions_of_first_hits_only(spark):
+    al = spark.createDataFrame([("a", 9, 12, 50.0, 0), ("a", 2, 5, 40.0, 1), ("b", 3, 6, 30.0, 2)], "q_name string, q_al_start int, q_al_stop int, sw_zscore double, _ord int")
+    assert rows(ao.positions(al, "left", False, most=5)) == [("b", 6)]
+    assert rows(ao.positions(al, "left", False, score=35.0)) == [("a", 12)]
+
+
 def test_trim_and_pull(spark):
     seqs = spark.createDataFrame([("a", "xACGTy", "d1"), ("b", "ACGT", "d2")], "id string, seq string, description string")
     left = spark.createDataFrame([("a", 1)], "name string, position int")

@@ -3,7 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from seqlake.operators.alignments import record_sequences
+from seqlake.operators.alignments import record_info, record_sequences
 from seqlake.sources import records, sinks
 from seqlake.sources import text_formats as tx
 
@@ -19,6 +19,9 @@ def test_fasta(spark, tmp_path):
     rows = tx.read_fasta(spark, p).orderBy("_ord").collect()
     assert [(r["id"], r["description"], r["seq"]) for r in rows] == [("H1", "H1 one|1", "ACGTacg"), ("H2", "H2", ""), ("H3", "H3 x", "TT")]
     assert tx.read_fasta(spark, p, limit=1).count() == 1
+    p = put(tmp_path, "end.fasta", ">a\n>b\nAC\n>c\n")
+    assert [r["id"] for r in tx.read_fasta(spark, p).orderBy("_ord").collect()] == ["a", "b"]
+    assert [r["id"] for r in tx.read_fasta(spark, p, drop_last_empty=False).orderBy("_ord").collect()] == ["a", "b", "c"]
 
 
 def test_fasta_round_trip(spark, tmp_path):
@@ -116,7 +119,11 @@ def test_flat_files(spark, tmp_path):
     assert set(rows) == {"AB1", "AB2"} and rows["AB1"]["seq"] == "AACGTNGTCATT" and rows["AB1"]["features"][1]["strand"] == -1
     cut = record_sequences(df, feature="rRNA", product=["16S"]).collect()
     assert [(r["id"], r["seq"]) for r in cut] == [("AB1_L1", "ACNACG")]
-    assert record_sequences(df, region=(1, 4)).orderBy("id").first()["id"] == "AB1_1_4"
+    assert tuple(record_sequences(df, region=(1, 4)).orderBy("id").select("id", "seq").first()) == ("AB1_1_4", "ACG")
+    whole = {r["id"]: r["seq"] for r in record_sequences(df, minus=True).collect()}
+    assert whole == {"AB1": "AATGACNACGTT", "AB2": "ACGT"}  # only AB1 has a source feature
+    facts = {r["seqname"]: (r["tax_id"], r["accession"], r["length"], r["ambig_count"]) for r in record_info(record_sequences(df)).collect()}
+    assert facts["AB1"] == ("77", "AB1.1", 12, 1) and facts["AB2"][0] is None
     assert record_sequences(df, types_only=True).count() == 1 and record_sequences(df, least=5).count() == 1
     got = records.fetch_records(spark.createDataFrame([("AB1", None, None), ("no", None, None)], "id string, seq_start string, seq_stop string"), lambda i, a, b: FLAT.split("//")[0] if i == "AB1" else None).collect()
     assert [(r["seqid"], r["tax_id"]) for r in got] == [("AB1.1", "77")]
