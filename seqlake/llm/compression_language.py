@@ -5,18 +5,18 @@ which long texts stand as blocks. Every language of a training text with a lette
 into blocks of its words, every block is compressed with every language's dictionary, and the language with the fewest
 bytes over the whole text wins. Where the second language comes within a narrow margin the decision is marked as rejected.
 
-A text that is null or has no letter gets `und` and score 0. Ties go to the language first in the alphabet. Without any
+A text that is null or has no letter (digits, fractions and number signs aren't letters) gets `und` and score 0. Ties go to the language first in the alphabet. Without any
 labelled text every prediction is `und`. Repeated rows get the same result; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +31,11 @@ BLOCK, LEVEL, MARGIN = 4096, 12, 0.01
 #: Bytes of difference that change the odds of two languages by a factor of e.
 SCALE = 8.0
 
-_other = re.compile(r"[\W\d_]+")
+_other = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def plain(text: str) -> bytes:
-    """Words only, in lower case."""
+    """Letters and the marks on them, in lower case."""
     return _other.sub(" ", text.lower()).strip().encode()
 
 
@@ -105,7 +105,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
         sizes = _sizes_of(dictionaries)
         pred, score, margin = [], [], []
         for t in b.column("text").to_pylist():
-            t = plain(t)
+            t = plain(t) if any(map(str.isalpha, t)) else b""
             if not t or not sizes.langs:
                 pred.append("und")
                 score.append(0.0)
