@@ -7,7 +7,7 @@ searches the block it falls in, which gives a score that its k-th best can't be
 are widened as long as the triangle inequality lets a ring hold a vector that reaches this score; rings beyond are left
 out, and with them nothing that belongs in the result. Blocks are searched with one matrix product for a batch of queries.
 
-Vectors that are null or hold a null, a NaN or an infinity take no part. Shorter vectors count as filled with zeros.
+Vectors that are null or hold a null, a NaN or an infinity, or have no id, take no part. Shorter vectors count as filled with zeros.
 Repeated ids are rows of their own; a query leaves out every row that has its own id. Ties go to the smaller id. With
 fewer than k candidates all are returned; an empty table gives an empty result.
 """
@@ -30,7 +30,7 @@ SAMPLE, BLOCK_ROWS, PIVOTS = 2048, 1024, 16
 
 def whole_vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """id, vec: array of long with floor(64 x) of each component, of those vectors that take part."""
-    sound = F.col(vec_col).isNotNull() & F.forall(vec_col, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    sound = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.forall(vec_col, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     return rows.where(sound).select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: F.floor(x.cast("double") * 64)).alias("vec"))
 
 
@@ -125,9 +125,8 @@ def _search(rows: DataFrame, dim: int, k: int) -> DataFrame:
 def top_k(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: for the rows where is_query holds, the k others of highest inner product."""
     spark = rows.sparkSession
-    flagged = rows.withColumn("__query", F.coalesce(is_query, F.lit(False)))
-    sound = whole_vectors(flagged, id_col, vec_col)
-    queries = whole_vectors(flagged.where("__query"), id_col, vec_col)
+    sound = whole_vectors(rows, id_col, vec_col)
+    queries = whole_vectors(rows.where(F.coalesce(is_query, F.lit(False))), id_col, vec_col)
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     n, dim, top = sound.agg(F.count("*"), F.max(F.size("vec")), F.max(norm)).first()
