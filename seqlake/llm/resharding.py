@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqlake.llm.common import fresh
+
 #: Blocks in each old shard: the unit of transfers, and the bound of what the driver gets (times the number of shards).
 BLOCKS = 2048
 #: Stands for a null old shard while planning; results show null again.
@@ -114,12 +116,16 @@ def deal(blocks: pd.DataFrame, shards: int, capacity: list[int] | None = None) -
     held: dict[int, list[int]] = {j: [] for j in range(shards)}
     for x, j in enumerate(own):
         held[j].append(x)
-    size_of = blocks["bytes"].tolist()
+    size_of, home = blocks["bytes"].tolist(), blocks["old_shard"].tolist()
     for _ in range(4 * shards):
         over = [load[j] - capacity[j] for j in range(shards)]
         a, b = over.index(max(over)), over.index(min(over))
         gap = over[a] - over[b]
-        x = min((x for x in held[a] if size_of[x] < gap), key=lambda x: (abs(2 * size_of[x] - gap), x), default=None)
+        # a block that has left its shard anyway, or comes home, costs no more bytes: it goes if it halves the gap
+        costs = lambda x: home[x] == a and home[x] != b
+        fits = [x for x in held[a] if size_of[x] < gap]
+        free = [x for x in fits if not costs(x) and gap <= 4 * size_of[x] <= 3 * gap]
+        x = min(free or fits, key=lambda x: (abs(2 * size_of[x] - gap), x), default=None)
         if x is None:
             break
         held[a].remove(x)
@@ -155,9 +161,11 @@ def rewrite(docs: DataFrame, old_shard: Column, shards: int, to: str, blocks: in
     """Write anew, under to/shard=N, the shards that lose or gain documents; returns their numbers. Others stay as they are.
 
     The new shards are written to a folder of their own first and then take the places of the old ones, so docs may be read
-    from `to`; a changed shard that keeps no document goes.
+    from `to`; a changed shard that keeps no document goes. A column `shard` of docs is replaced by the folders' numbers; other
+    columns are written as they are.
     """
-    rows = docs.withColumn("old_shard", F.coalesce(old_shard.cast("int"), F.lit(NO_SHARD))).drop("shard")
+    old, part = fresh(docs, "old"), fresh(docs, "part")
+    rows = docs.withColumn(old, F.coalesce(old_shard.cast("int"), F.lit(NO_SHARD))).drop("shard")
     moves = reshard(docs, old_shard, shards, blocks).select(F.coalesce("old_shard", F.lit(NO_SHARD)).alias("old_shard"), "block", "shard").distinct()
     changed = [r[0] for r in moves.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard"))).distinct().collect()]  # shards at most
     changed = sorted(set(changed) - {NO_SHARD})
@@ -165,9 +173,9 @@ def rewrite(docs: DataFrame, old_shard: Column, shards: int, to: str, blocks: in
         return []
     text = F.coalesce(F.col("text"), F.lit(""))
     block = F.pmod(F.xxhash64("doc_id", F.crc32(text), (F.octet_length(text) + 1).cast("long")), F.lit(blocks)).cast("int")
-    placed = rows.withColumn("block", block).join(F.broadcast(moves), ["old_shard", "block"]).where(F.col("shard").isin(changed))
+    placed = rows.withColumn(part, block).join(F.broadcast(moves.toDF(old, part, "shard")), [old, part]).where(F.col("shard").isin(changed))
     staging = f"{to}/_resharding-{uuid.uuid4().hex}"  # readers skip names with a leading underscore
-    placed.drop("old_shard", "block").write.partitionBy("shard").parquet(f"{staging}/new")
+    placed.drop(old, part).write.partitionBy("shard").parquet(f"{staging}/new")
     _swap(docs, staging, to, changed)
     return changed
 
