@@ -369,8 +369,8 @@ def lines_by_brute_force(rows):
     return out
 
 
-@pytest.mark.parametrize("crowd", [line_dedup.CROWD, 3])
-def test_line_dedup(spark, crowd):
+@pytest.mark.parametrize("crowd,long", [(line_dedup.CROWD, line_dedup.LONG), (3, line_dedup.LONG), (3, 20)])
+def test_line_dedup(spark, crowd, long):
     base = [prose(25, i) for i in range(6)]
     rows = [(1, None), (2, ""), (3, "a b c\n\n" + base[0]), (5, "x y z q w " * 3000)]
     for i in range(60):
@@ -379,7 +379,7 @@ def test_line_dedup(spark, crowd):
             own[random.randrange(len(own))] = random.choice(WORDS)
         rows.append((10 + i, f"{prose(12, 1000 + i)}\n{' '.join(own).title()}\na b c\n{prose(9, 2000 + i % 40)}"))
     df = docs(spark, [(i, t, 0) for i, t in rows], DOCS + ", n_chars long").withColumn("d", F.lit("clash"))
-    got = line_dedup.dedup_lines(df, line_dedup.removed_lines(df, crowd))
+    got = line_dedup.dedup_lines(df, line_dedup.removed_lines(df, crowd, long))
     want = lines_by_brute_force(rows)
     assert {r["doc_id"]: r["text"] for r in got.collect()} == want
     assert got.columns == [*df.columns, "n_removed"] and got.where("n_removed > 0 and n_chars <> length(text)").count() == 0
@@ -388,6 +388,9 @@ def test_line_dedup(spark, crowd):
 
 def test_line_dedup_empty_and_repeated(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
+    clash = docs(spark, [(1, "one two three four five"), (2, "five\ttwo three  four one")]).selectExpr("*", "7 as n_removed", "'a' as d", "'b' as V", "'c' as bits", "'d' as `x.y`")
+    got = line_dedup.dedup_lines(clash).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(1, "one two three four five", "a", "b", "c", "d", 0), (2, "", "a", "b", "c", "d", 1)]
     twice = docs(spark, [(1, "one two three four five"), (1, "one two three four five"), (None, "one two three four five")])
     assert sorted((r["doc_id"] or 99, r["text"]) for r in line_dedup.dedup_lines(twice).collect()) == [(1, "one two three four five")] * 2 + [(99, "")]
 
@@ -461,6 +464,29 @@ def test_toxicity(spark):
     assert {r["score"] < 0.01 for r in noisy_toxicity.score(df, nothing).collect()} == {True}
     assert noisy_toxicity.score(df.limit(0), model).count() == 0
     assert model.model.restore("1d10t") == "idiot"
+    assert model.model.restore("1d10t" + "." * 70) == "idiot" and model.model.restore("m o r o n") == "moron"
+
+
+def test_lattice_against_enumeration():
+    """The search finds the cheapest of all readings, which are listed one by one."""
+    from collections import Counter
+
+    model = noisy_toxicity.CharModel(Counter({"idiot": 9, "moron": 7, "you": 20, "are": 20, "a": 30, "too": 5, "toot": 2}))
+
+    def readings(s, last="^^"):
+        if not s:
+            yield (model.cost(last + "$") if last != "^^" else 0.0), ""
+            return
+        for more, key, x in model.steps(s[0], last):
+            for cost, rest in readings(s[1:], key):
+                yield more + cost, x + rest
+
+    random.seed(8)
+    for _ in range(60):
+        s = "".join(random.choice("idot10!@m 7") for _ in range(random.randint(1, 7)))
+        cost, text = model.best(s)
+        found = sorted(readings(s))
+        assert abs(found[0][0] - cost) < 1e-9 and any(abs(c - cost) < 1e-9 and t == text for c, t in found)
 
 
 # -- 9
@@ -498,6 +524,15 @@ def test_languages_with_copies_long_texts_and_many(spark):
     assert only == {"m": b"same words"}
 
 
+def test_language_without_letters_and_with_marks(spark):
+    rows = [(1, "12 ²"), (2, "½"), (3, "①"), (4, "Ⅷ"), (5, "हिन्दी भाषा"), (6, None), (5, "हिन्दी भाषा")]
+    df = docs(spark, rows).withColumn("lang", F.lit("hi")).withColumn("score", F.lit("clash"))
+    made = compression_language.learn(df, F.lit(True))
+    got = compression_language.predict(df, made).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {1: "und", 2: "und", 3: "und", 4: "und", 5: "hi", 6: "und"} and len(got) == 7
+    assert compression_language.plain("हिन्दी") == "हिन्दी".encode()
+
+
 # -- 10
 
 
