@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqlake.llm.common import fresh
+
 ROUNDS = 8
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
@@ -216,13 +218,15 @@ def pseudonym(key: Column, v: Column) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """docs with the text column rewritten, and n_replaced: how many values changed."""
+    """docs with the text column rewritten, and n_replaced: how many values changed. A column n_replaced of docs is replaced;
+    other columns pass through, whatever their names."""
     text, any_ = F.col(text_col), F.lit(ANY)
     found = F.when(text.rlike("[0-9@]|[A-Fa-f]{32}"), F.regexp_extract_all(text, any_, F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = docs.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
-    rows = rows.withColumn("__new", F.transform("__found", lambda v: pseudonym(F.lit(key), v)))
+    old, new = fresh(docs, "found"), fresh(docs, "new")
+    rows = docs.withColumn(old, F.coalesce(found, F.array().cast("array<string>")))
+    rows = rows.withColumn(new, F.transform(old, lambda v: pseudonym(F.lit(key), v)))
     parts = F.split(text, ANY, -1)
-    joined = F.array_join(F.transform(parts, lambda x, i: F.concat(x, F.coalesce(F.get("__new", i), F.lit("")))), "")
-    changed = F.size(F.filter(F.arrays_zip("__found", "__new"), lambda x: x["__found"] != x["__new"]))
-    rows = rows.withColumn("n_replaced", changed).withColumn(text_col, F.when(F.size("__found") == 0, text).otherwise(joined))
-    return rows.drop("__found", "__new")
+    joined = F.array_join(F.transform(parts, lambda x, i: F.concat(x, F.coalesce(F.get(new, i), F.lit("")))), "")
+    changed = F.size(F.filter(F.arrays_zip(old, new), lambda x: x[old] != x[new]))
+    rows = rows.withColumn("n_replaced", changed).withColumn(text_col, F.when(F.size(old) == 0, text).otherwise(joined))
+    return rows.drop(old, new)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import arrow, small_batches, texts, written
+from seqlake.llm.common import arrow, fresh, small_batches, texts, written
 from seqlake.llm.components import components, stars
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -234,11 +234,12 @@ def keep_one(docs: DataFrame, hot: int = HOT) -> DataFrame:
     prints = written(fingerprints(docs).withColumn("key", F.coalesce("doc_id", F.lit(2**63 - 1))))
     roots = _roots(prints, hot)
     first = prints.groupBy("fp").agg(F.min(F.struct("key", "h")).alias("f")).join(roots, "fp").groupBy("root").agg(F.min("f").alias("f")).select("f.key", "f.h")
-    rows = docs.withColumns({"__key": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "__h": F.xxhash64(F.coalesce("text", F.lit("")))})
-    kept = written(first.withColumnsRenamed({"key": "__key", "h": "__h"}))
-    again = prints.groupBy(F.col("key").alias("__key"), F.col("h").alias("__h")).count().where("count > 1").select("__key", "__h")
-    again = written(again.join(kept, ["__key", "__h"], "left_semi"))
-    mine = rows.join(kept, ["__key", "__h"], "left_semi")
+    k, h = fresh(docs, "key"), fresh(docs, "h")
+    rows = docs.withColumns({k: F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), h: F.xxhash64(F.coalesce("text", F.lit("")))})
+    kept = written(first.withColumnsRenamed({"key": k, "h": h}))
+    again = prints.groupBy(F.col("key").alias(k), F.col("h").alias(h)).count().where("count > 1").select(k, h)
+    again = written(again.join(kept, [k, h], "left_semi"))
+    mine = rows.join(kept, [k, h], "left_semi")
     if again.limit(1).count():  # kept rows that the table holds several times
-        mine = mine.join(again, ["__key", "__h"], "left_anti").unionByName(rows.join(again, ["__key", "__h"], "left_semi").dropDuplicates(["__key", "__h"]))
+        mine = mine.join(again, [k, h], "left_anti").unionByName(rows.join(again, [k, h], "left_semi").dropDuplicates([k, h]))
     return mine.select(*docs.columns)

@@ -413,6 +413,8 @@ def test_pseudonyms(spark):
     again = {r["doc_id"]: r for r in feistel_pseudonyms.pseudonymise(docs(spark, [(1, new)]), "k1").collect()}
     assert again[1]["n_replaced"] == a[1]["n_replaced"] == 9  # what was valid still is
     assert feistel_pseudonyms.pseudonymise(df.limit(0), "k").count() == 0
+    clash = feistel_pseudonyms.pseudonymise(docs(spark, [(1, text)]).selectExpr("*", "'a' as found", "'b' as new", "'c' as __found", "9 as n_replaced"), "k1").first()
+    assert (clash["text"], clash["found"], clash["new"], clash["__found"], clash["n_replaced"]) == (new, "a", "b", "c", 9)
 
 
 def test_pseudonyms_of_secrets(spark):
@@ -538,12 +540,12 @@ def test_language_without_letters_and_with_marks(spark):
 
 def test_pivot_search(spark):
     r = np.random.default_rng(5)
-    rows = [(i, r.normal(size=12).tolist()) for i in range(400)] + [(1000 + i, [1.0] * 12) for i in range(60)] + [(2000, None), (2001, [None] + [0.0] * 11), (2002, [float("nan")] * 12), (2003, [float("inf")] * 12), (2020, [0.5, -0.5]), (2040, [])]
+    rows = [(i, r.normal(size=12).tolist()) for i in range(400)] + [(1000 + i, [1.0] * 12) for i in range(60)] + [(2000, None), (2001, [None] + [0.0] * 11), (2002, [float("nan")] * 12), (2003, [float("inf")] * 12), (2020, [0.5, -0.5]), (2040, []), (None, [0.5] * 12)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {}
     for x in pivot_search.top_k(df.withColumn("vec", F.lit(1)), F.col("vec_id") % 20 == 0, pivots=6, block_rows=16).collect():
         got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
-    sound = {i: np.floor(np.array((v + [0.0] * 12)[:12]) * 64).astype(int) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    sound = {i: np.floor(np.array((v + [0.0] * 12)[:12]) * 64).astype(int) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
     assert set(got) == {i for i in sound if i % 20 == 0}
     for i, found in got.items():
         want = sorted((-int(sound[i] @ v), j) for j, v in sound.items() if j != i)[:20]
