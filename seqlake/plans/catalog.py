@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlake.functions import alignment as al
@@ -549,8 +549,9 @@ def copy_corrections(spark, d):
 @query("""with r as (select user_id, event_type, count(*)::double reads from events group by all)
     select user_id, event_type, reads, (row_number() over (partition by user_id order by reads desc, event_type desc) - 1)::varchar as assignment_id from r""")
 def assignment_numbers(spark, d):
-    r = t(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").cast("double").alias("reads"))
-    return r.withColumn("assignment_id", (F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("reads"), F.desc("event_type"))) - 1).cast("string"))
+    r = t(spark, d, "events").groupBy(F.col("user_id").alias("specimen"), F.col("event_type").alias("assignment")).agg(F.count("*").cast("double").alias("reads"))
+    numbers = cf.numbered(r.withColumns({"clusters": F.lit(1), "key": F.lit("")}), "reads")
+    return numbers.select(F.col("specimen").alias("user_id"), F.col("assignment").alias("event_type"), "reads", "assignment_id")
 
 
 @query()

@@ -47,6 +47,12 @@ def select_valid_hits(hits: DataFrame) -> DataFrame:
     return whole.unionByName(fallen.join(used, [*QUERY, "__at", "assignment_tax_id"], "left_anti")).drop("__deep", "__rank", "__at")
 
 
+def numbered(assignments: DataFrame, measure: str) -> DataFrame:
+    """assignments (specimen, key, assignment, clusters, measure) with assignment_id: the place in its specimen, from 0."""
+    order = Window.partitionBy("specimen").orderBy(F.desc(measure), F.desc("clusters"), F.desc("assignment"), "key")
+    return assignments.withColumn("assignment_id", (F.row_number().over(order) - 1).cast("string"))
+
+
 def classify(
     hits: DataFrame,
     seq_info: DataFrame,
@@ -119,8 +125,7 @@ def classify(
     for m in measures:
         out = out.withColumn(f"pct_{m}", F.greatest(F.lit(0.01), F.col(m) / F.col(f"__{m}") * 100))
     out = out.withColumn("reads", F.round("reads"))
-    order = Window.partitionBy("specimen").orderBy(F.desc(measures[-1]), F.desc("clusters"), F.desc("assignment"), "key")
-    out = out.withColumn("assignment_id", (F.row_number().over(order) - 1).cast("string"))
+    out = numbered(out, measures[-1])
     more = ["corrected", "pct_corrected"] if copies is not None else []
     summary = out.select("specimen", "assignment_id", "assignment", "max_percent", "min_percent", "min_threshold", "best_rank", "reads", "clusters", "pct_reads", *more)
     place = F.min("_ord") if "_ord" in hits.columns else F.min("qseqid")
