@@ -30,10 +30,12 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """A folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset and Spark runs locally (tests)."""
     sc = spark.sparkContext
-    there = sc.getConf().get("spark.checkpoint.dir")
+    there = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not there:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         there = "/tmp/seqlake-checkpoints"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(there)

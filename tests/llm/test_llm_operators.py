@@ -7,13 +7,14 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from seqlake.llm import compression_language, decontamination, feistel_pseudonyms, golay_dedup, line_dedup, noisy_toxicity, piece_codec, pivot_search, recurrent_lm, resharding
+from seqlake.llm import common, compression_language, decontamination, feistel_pseudonyms, golay_dedup, line_dedup, noisy_toxicity, piece_codec, pivot_search, recurrent_lm, resharding
 from seqlake.llm.components import components
 
 DOCS = "doc_id long, text string"
@@ -553,3 +554,23 @@ def test_pivot_search(spark):
     assert pivot_search.top_k(df.limit(0), F.lit(True)).count() == 0
     few = pivot_search.top_k(df.where("vec_id < 3"), F.col("vec_id") == 0).collect()
     assert [x["rank"] for x in few] == [1, 2]
+
+
+def test_shared_dir(spark):
+    class Conf:
+        def __init__(self, there):
+            self.there = there
+
+        def get(self, key, default=None):
+            return self.there if key == "spark.checkpoint.dir" else default
+
+    def session(master, there):
+        chosen = SimpleNamespace(isEmpty=lambda: False)
+        jsc = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: chosen))
+        return SimpleNamespace(conf=Conf(there), sparkContext=SimpleNamespace(master=master, getConf=lambda: Conf(None), _jsc=jsc))
+
+    assert common.shared_dir(session("spark://x:7077", "hdfs://x/shared")) == "hdfs://x/shared"
+    assert common.shared_dir(session("local[2]", None))
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(session("spark://x:7077", None))
+    assert common.written(spark.range(3)).count() == 3
