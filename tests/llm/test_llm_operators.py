@@ -470,6 +470,21 @@ def test_toxicity(spark):
     assert model.model.restore("1d10t" + "." * 70) == "idiot" and model.model.restore("m o r o n") == "moron"
 
 
+def test_toxicity_learns_from_all_texts(spark):
+    """Lexicon and regression count every labelled text, more than some thousand and long ones too."""
+    n_toxic, n_other = 1500, 3000
+    rows = [(i, f"{prose(5, i)} idiot") for i in range(n_toxic - 12)] + [(i, prose(4000, i) + " scumbag") for i in range(n_toxic - 12, n_toxic)]
+    rows += [(i, prose(5, i) + (" idiot" if i % 100 == 0 else "")) for i in range(n_toxic, n_toxic + n_other)]
+    assert min(len(t) for _, t in rows[n_toxic - 12 : n_toxic]) > 20_000
+    df, lab = docs(spark, rows), docs(spark, [(i, int(i < n_toxic)) for i, _ in rows], "doc_id long, toxic int")
+    model = noisy_toxicity.learn(df, lab, F.lit(True))
+    for word, pos, neg in (("=idiot", n_toxic - 12, 30), ("=scumbag", 12, 0)):
+        odds = math.log((pos + 0.5) / (n_toxic + 1)) - math.log((neg + 0.5) / (n_other + 1))
+        assert abs(model.odds[word] - odds) < 1e-9
+    assert model.model.tri["bag"] == 12 and model.model.tri["iot"] == n_toxic - 12 + 30
+    assert model.score(prose(8, 1) + " scumbag") > 0.5 > model.score(prose(8, 2))
+
+
 def test_lattice_against_enumeration():
     """The search finds the cheapest of all readings, which are listed one by one."""
     from collections import Counter
