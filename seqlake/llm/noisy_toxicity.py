@@ -167,7 +167,10 @@ def features(w: str) -> list[str]:
 def _held(w: str, wanted: list[int]) -> list[str]:
     """The features of a word that the bitmap has. No text has a longer beginning without the shorter ones."""
     out = []
-    for f in features(w)[1:]:
+    for n in PREFIX:
+        if len(w) < n:
+            break
+        f = w[:n]
         h = zlib.crc32(f.encode()) & (BITS - 1)
         if not wanted[h >> 6] >> (h & 63) & 1:
             if not out:
@@ -221,6 +224,12 @@ class Toxicity:
             out.update(x)
         return out
 
+    def forget(self) -> None:
+        """Leave no cache to the memory of an idle worker."""
+        for cache in (self.kept, self.read, self.model.kept, self.model.ways):
+            cache.clear()
+        self.model.n_ways = 0
+
     def measures(self, text: str) -> list[float]:
         ws, kept = words_of(text, self.model), self.kept
         hits: dict[str, float] = {}
@@ -309,6 +318,7 @@ def _lexicons(labelled: DataFrame, model: CharModel, n: list[int]) -> list[dict[
             for b in batches:
                 for t, k in zip(b.column("text").to_pylist(), b.column("k").to_pylist(), strict=True):
                     yield k, own.features_of(t, some)
+            own.forget()
 
         return _counts(texts, work)
 
@@ -343,7 +353,10 @@ def _measured(labelled: DataFrame, model: CharModel, halves: list[dict[str, floa
                         x[i] = own.measures(t)
             return pa.RecordBatch.from_arrays([pa.array([float(k % 2) for k in ks]), *[pa.array(x[:, i]) for i in (1, 2, 3)]], names=["y", "x1", "x2", "x3"])
 
-        return arrow(batches, one)
+        yield from arrow(batches, one)
+        for token in tokens:
+            if token in _made:
+                _made[token].forget()
 
     return written(labelled.mapInArrow(run, "y double, x1 double, x2 double, x3 double"))
 
@@ -413,7 +426,7 @@ def score(docs: DataFrame, model: Toxicity, name: str = "score") -> DataFrame:
         own = _model_of(token, shared)
         return [pa.array([own.score(t or "") for t in col.to_pylist()], pa.float64())]
 
-    return appended(docs, [(name, T.DoubleType())], "text", work)
+    return appended(docs, [(name, T.DoubleType())], "text", work, lambda: _model_of(token, shared).forget())
 
 
 def reject(docs: DataFrame, model: Toxicity, threshold: float = 0.5) -> DataFrame:

@@ -55,3 +55,25 @@ def test_pipeline(spark, tmp_path):
             assert set(after) == set(before) and all(r["round_trip"] and len(r["ids"]) == 4 * r["n_tokens"] for r in now.collect())
     whole = catalog.queries()["pipeline"](spark, str(tmp_path))
     assert sorted(whole.columns) == sorted(now.columns) and whole.count() == now.count()
+
+
+def test_little_goes_to_the_driver(spark, tmp_path, monkeypatch):
+    """The pipeline's first stages collect neither texts nor a row for each bucket of words."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    docs, texts, _ = corpus(spark, tmp_path)
+    whole = {t for t in texts.values() if t}
+    collect, most, seen = DataFrame.collect, [], []
+
+    def counted(df):
+        rows = collect(df)
+        most.append(len(rows))
+        seen.extend(x for r in rows for x in r if isinstance(x, str) and x in whole)
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    corpus_pipeline.toxicity(spark, docs, str(tmp_path))
+    assert most and not seen
+    most.clear()
+    corpus_pipeline.lines(spark, docs, str(tmp_path))
+    assert most and max(most) <= 512
