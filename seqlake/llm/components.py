@@ -33,7 +33,7 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
-def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of a partition, as stars, in runs of bounded length."""
     u, v, n = [], [], 0
     for b in batches:
@@ -55,9 +55,10 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """From edges (u long, v long), in any direction and repeated or not, to (u, root) of every node that isn't a root."""
-    now = written(edges.where("u <> v").mapInArrow(_local, "u long, v long"))
+def components(edges: DataFrame, starred: bool = False) -> DataFrame:
+    """From edges (u long, v long), in any direction and repeated or not, to (u, root) of every node that isn't a root.
+    starred: they are what local() makes, which then needs no worker of its own."""
+    now = written(edges if starred else edges.where("u <> v").mapInArrow(local, "u long, v long"))
     mark = _mark(now)
     while mark[0]:
         both = now.union(now.select("v", "u"))

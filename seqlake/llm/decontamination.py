@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import small_batches, texts, written
+from seqlake.llm.common import small_batches, sole, texts, written
 from seqlake.llm.word_hash import shingles, words
 
 SHINGLE, THRESHOLD, BLOCK_BYTES = 5, 0.8, 8_000_000
@@ -113,7 +113,7 @@ _made: dict[int, Benchmark] = {}
 
 def _block_of(items) -> Benchmark:
     """The block in this worker process; only the last one is kept."""
-    if items.key not in _made:
+    if items.key not in sole(_made):
         _made.clear()
         _made[items.key] = Benchmark(*items.value.value)
     return _made[items.key]

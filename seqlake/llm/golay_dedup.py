@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import arrow, fresh, small_batches, texts, written
-from seqlake.llm.components import components, stars
+from seqlake.llm.common import arrow, fresh, small_batches, sole, texts, written
+from seqlake.llm.components import components, local, stars
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 HOT = 20_000
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(got.view(np.int64))], names=["doc_id", "h", "fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _alone()
         return arrow(batches, work)
 
     small_batches(docs.sparkSession)
@@ -102,13 +103,18 @@ class Golay:
         return codewords >> (LENGTH - MESSAGE)
 
 
-_golay: list[Golay] = []
+_golay: dict[str, Golay] = {}
+
+
+def _alone() -> None:
+    """Only this operator's tables stay in the worker. A function of the module, as nested ones get copies of its variables."""
+    sole(_golay)
 
 
 def golay() -> Golay:
-    if not _golay:
-        _golay.append(Golay())
-    return _golay[0]
+    if not sole(_golay):
+        _golay["tables"] = Golay()
+    return _golay["tables"]
 
 
 def filed(fp: np.ndarray) -> np.ndarray:
@@ -197,6 +203,11 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done([np.concatenate(h) for h in held])
 
 
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stars of a partition's links, both found by one worker."""
+    return local(_matched(batches))
+
+
 def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     """Edges u, v between distinct fingerprints (fp) that connect just what RADIUS links connect."""
     spark = distinct.sparkSession
@@ -209,13 +220,13 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
         crowded = F.broadcast(crowded) if n <= 50_000 else crowded
         part = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(F.col("kind") == 0, F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
         rows = rows.join(crowded, "key", "left").select("key", "kind", "fp", F.explode(part).alias("part")).select((F.col("part").cast("long") * (1 << 27) + F.col("key")).alias("key"), "kind", "fp")
-    return rows.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(_matched, "u long, v long")
+    return rows.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(_linked, "u long, v long")
 
 
 def _roots(prints: DataFrame, hot: int) -> DataFrame:
     """fp, root for every distinct fingerprint, written."""
     distinct = written(prints.select("fp").distinct())
-    roots = components(links(distinct, hot))
+    roots = components(links(distinct, hot), starred=True)
     return written(distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", F.coalesce("root", "fp").alias("root")))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqlake.llm.common import appended, arrow, drop_written, release, small_batches, written
+from seqlake.llm.common import appended, arrow, drop_written, release, small_batches, sole, written
 
 #: Trigrams of the character model.
 GRAMS = 300_000
@@ -355,8 +355,7 @@ def _measured(labelled: DataFrame, model: CharModel, halves: list[dict[str, floa
 
         yield from arrow(batches, one)
         for token in tokens:
-            if token in _made:
-                _made[token].forget()
+            _forget(token)
 
     return written(labelled.mapInArrow(run, "y double, x1 double, x2 double, x3 double"))
 
@@ -409,7 +408,7 @@ _made: dict[str, Toxicity] = {}
 
 def _model_of(token: str, parts, others: int = 0) -> Toxicity:
     """The model in this worker process; of the ones before, only the last `others` are kept."""
-    if token not in _made:
+    if token not in sole(_made):
         tri, odds, weights = parts.value
         while len(_made) > others:
             del _made[next(iter(_made))]
@@ -417,6 +416,12 @@ def _model_of(token: str, parts, others: int = 0) -> Toxicity:
     return _made[token]
 
 
+def _forget(token: str) -> None:
+    """Empty the caches of a model of this worker process. A function of the module, as nested ones get a copy of _made."""
+    if token in _made:
+        _made[token].forget()
+
+
 def score(docs: DataFrame, model: Toxicity, name: str = "score") -> DataFrame:
     """docs with the score of every row; a column of that name is replaced."""
     token = uuid.uuid4().hex
@@ -426,7 +431,7 @@ def score(docs: DataFrame, model: Toxicity, name: str = "score") -> DataFrame:
         own = _model_of(token, shared)
         return [pa.array([own.score(t or "") for t in col.to_pylist()], pa.float64())]
 
-    return appended(docs, [(name, T.DoubleType())], "text", work, lambda: _model_of(token, shared).forget())
+    return appended(docs, [(name, T.DoubleType())], "text", work, lambda: _forget(token))
 
 
 def reject(docs: DataFrame, model: Toxicity, threshold: float = 0.5) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqlake.llm.common import appended
+from seqlake.llm.common import appended, sole
 
 MARK = "▁"
 LETTER = r"[^\W\d_]"
@@ -297,7 +297,7 @@ _codecs: dict[int, PieceCodec] = {}
 def codec_of(model: bytes) -> PieceCodec:
     """The codec of a model, one for each worker process."""
     key = hash(model)
-    if key not in _codecs:
+    if key not in sole(_codecs):
         _codecs[key] = PieceCodec(model)
     return _codecs[key]
 
@@ -323,5 +323,17 @@ def decode_documents(encoded: DataFrame, model: bytes, ids_col: str = "ids") ->
     return appended(encoded, [("decoded", T.StringType())], ids_col, work)
 
 
+def round_trip(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
+    """docs with n_tokens and ids (see encode_documents), and round_trip: whether the ids decode to the text. One worker does
+    both with one codec; as two steps, each task takes two workers."""
+
+    def work(col):
+        codec, own = codec_of(model), [x or "" for x in col.to_pylist()]
+        ids = [codec.encode(x) for x in own]
+        return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([codec.decode(i) == x for i, x in zip(ids, own, strict=True)], pa.bool_())]
+
+    return appended(docs, [("n_tokens", T.LongType()), ("ids", T.BinaryType()), ("round_trip", T.BooleanType())], text_col, work)
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
