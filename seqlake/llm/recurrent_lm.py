@@ -24,9 +24,11 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,15 +49,18 @@ FEATURES = 400
 FLUSH = 300_000
 
 
+_outside = re.compile("[^\0-\x7f]").search
+
+
 def tokens(text: str) -> list[bytes]:
     return text.encode().lower().split()  # bytes: only A-Z are lowered, only ASCII white space splits
 
 
 def tail_class(w: bytes) -> int:
     """A class that a word's own bytes give: by its first letter outside ASCII, or whether it has signs."""
-    if w.isascii():
-        return 0 if w.isalpha() else 1
-    return 2 + next(ord(c) for c in w.decode(errors="replace") if ord(c) > 127) % (TAILS - 2)
+    if w.isalpha():  # of bytes: ASCII only
+        return 0
+    return 1 if w.isascii() else 2 + ord(_outside(w.decode(errors="replace"))[0]) % (TAILS - 2)
 
 
 class Network:
@@ -84,28 +89,57 @@ class Network:
         return np.concatenate([w.ravel() for w in self.weights()])
 
     def run(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States (steps, lanes, hidden) and the last one. fresh: where a text begins, and the state with it."""
-        h = HIDDEN
+        """States (steps, lanes, hidden) and the last one. fresh: where a text begins, and the state with it.
+
+        trace gets the states before each step, the new gate's recurrent part and the gates (steps, 3, lanes, hidden).
+        """
+        h, steps = HIDDEN, len(inputs)
+        # gates one after the other, each of one piece; half of what sigmoid gates get, for 0.5 + 0.5 tanh(x / 2)
+        half = np.array([0.5, 0.5, 1], np.float32)
+        x = (self.x.reshape(-1, 3, h) * half[:, None]).reshape(-1, h)
+        u = np.ascontiguousarray((self.u.reshape(h, 3, h) * half[:, None]).transpose(1, 0, 2))
+        gates = x.take((inputs * 3)[:, None] + np.arange(3)[:, None], 0)
         out = np.empty((*inputs.shape, h), np.float32)
-        gates = self.x[inputs]
-        for t in range(len(inputs)):
-            state = state * (~fresh[t])[:, None]
-            a = state @ self.u
-            zr = 0.5 + 0.5 * np.tanh(0.5 * (gates[t, :, : 2 * h] + a[:, : 2 * h]))
-            z, r = zr[:, :h], zr[:, h:]
-            n = np.tanh(gates[t, :, 2 * h :] + r * a[:, 2 * h :])
-            new = n + z * (state - n)
+        keep, begin = (~fresh).astype(np.float32)[:, :, None], fresh.any(1).tolist()
+        before = np.empty_like(out) if trace is not None else None
+        parts = np.empty_like(out) if trace is not None else None
+        a, b = np.empty(gates.shape[1:], np.float32), np.empty(out.shape[1:], np.float32)
+        for t in range(steps):
+            if begin[t]:
+                state = state * keep[t]
+            np.matmul(state, u, out=a)
+            zr, n = gates[t, :2], gates[t, 2]
+            zr += a[:2]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            np.multiply(zr[1], a[2], out=b)
+            n += b
+            np.tanh(n, out=n)
             if trace is not None:
-                trace.append((state, a[:, 2 * h :], z, r, n))
-            out[t] = state = new
+                before[t], parts[t] = state, a[2]
+            new = out[t]
+            np.subtract(state, n, out=new)
+            new *= zr[0]
+            new += n
+            state = new
+        if trace is not None:
+            trace += before, parts, gates
         return out, state
 
+    def _masses(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of states, shifted alike for all classes of a state, and their exponentials."""
+        logits = flat @ self.o
+        logits += self.b
+        if not float((np.abs(self.o).sum(0) + np.abs(self.b)).max()) < 40:  # states are within 1; smaller logits need no shift
+            logits -= logits.max(1, keepdims=True)
+        return logits, np.exp(logits)
+
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log of the targets' class probabilities."""
-        flat = states.reshape(-1, HIDDEN) @ self.o + self.b
-        flat -= flat.max(1, keepdims=True)
-        at = flat[np.arange(len(flat)), targets.ravel()]
-        return (at - np.log(np.exp(flat).sum(1))).reshape(targets.shape)
+        logits, masses = self._masses(states.reshape(-1, HIDDEN))
+        at = logits[np.arange(len(logits)), targets.ravel()]
+        return (at - np.log(masses @ np.ones(len(self.b), np.float32))).reshape(targets.shape)
 
     def train(self, lanes: list[np.ndarray], begins: list[np.ndarray], epochs: int = EPOCHS, rate: float = 0.02, moments: list | None = None) -> None:
         """Adam on windows; gradients stay inside a window, the state doesn't. moments: [steps, first, second], carried from call to call."""
@@ -129,27 +163,36 @@ class Network:
                 trace: list = []
                 states, state = self.run(x, new, state, trace)
                 flat = states.reshape(-1, h)
-                p = flat @ self.o + self.b
-                p -= p.max(1, keepdims=True)
-                np.exp(p, out=p)
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(p)), y.ravel()] -= 1
-                p *= (on.ravel() / max(1, on.sum()))[:, None].astype(np.float32)
+                p = self._masses(flat)[1]
+                share = on.ravel().astype(np.float32) / max(1, on.sum())
+                p *= (share / (p @ np.ones(classes, np.float32)))[:, None]
+                p[np.arange(len(p)), y.ravel()] -= share
                 d_out = (p @ self.o.T).reshape(states.shape)
-                grads = [np.zeros_like(self.x), np.zeros_like(self.u), flat.T @ p, p.sum(0)]
-                d_gates = np.empty((*x.shape, 3 * h), np.float32)
-                d_h = np.zeros_like(state)
+                before, part, gates = trace
+                z, r, n = gates[:, 0], gates[:, 1], gates[:, 2]
+                # what each step's gradients are multiplied by, for all steps at once
+                by_z, by_n, by_r = (before - n) * z * (1 - z), (1 - z) * (1 - n * n), part * r * (1 - r)
+                d_gates, d_new = np.empty_like(gates), np.empty_like(states)
+                u = np.ascontiguousarray(self.u.reshape(h, 3, h).transpose(1, 2, 0))
+                keep, begin = (~new).astype(np.float32)[:, :, None], new.any(1).tolist()
+                back, d_h = np.empty(gates.shape[1:], np.float32), np.zeros_like(state)
                 for t in range(len(x) - 1, -1, -1):
-                    before, an, z, r, n = trace[t]
-                    d = d_out[t] + d_h
-                    d_n = d * (1 - z) * (1 - n * n)
-                    d_z = d * (before - n) * z * (1 - z)
-                    d_r = d_n * an * r * (1 - r)
-                    d_a = np.hstack([d_z, d_r, d_n * r])
-                    d_gates[t] = np.hstack([d_z, d_r, d_n])
-                    grads[1] += before.T @ d_a
-                    d_h = (d * z + d_a @ self.u.T) * (~new[t])[:, None]
-                grads[0] += _sums(x.ravel(), d_gates.reshape(-1, 3 * h), classes + 1)
+                    d, d_a = d_out[t], d_gates[t]
+                    d += d_h
+                    np.multiply(d, by_z[t], out=d_a[0])
+                    np.multiply(d, by_n[t], out=d_new[t])
+                    np.multiply(d_new[t], by_r[t], out=d_a[1])
+                    np.multiply(d_new[t], r[t], out=d_a[2])
+                    np.matmul(d_a, u, out=back)
+                    np.multiply(d, z[t], out=d_h)
+                    for part_back in back:
+                        d_h += part_back
+                    if begin[t]:
+                        d_h *= keep[t]
+                flat_before = before.reshape(-1, h).T
+                d_u = [flat_before @ d_gates[:, i].reshape(-1, h) for i in range(3)]
+                d_x = np.concatenate([d_gates[:, 0].reshape(-1, h), d_gates[:, 1].reshape(-1, h), d_new.reshape(-1, h)], 1)
+                grads = [_sums(x.ravel(), d_x, classes + 1), np.hstack(d_u), flat.T @ p, np.ones(len(p), np.float32) @ p]
                 k += 1
                 norm = math.sqrt(sum(float((g * g).sum()) for g in grads))
                 lr = rate * (1 - epoch / (epochs + 1)) * math.sqrt(1 - 0.999**k) / (1 - 0.9**k)
@@ -163,9 +206,12 @@ class Network:
 
 def _sums(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sums of the rows of each key below n."""
-    one = np.zeros((len(keys), n), np.float32)
-    one[np.arange(len(keys)), keys] = 1
-    return one.T @ rows
+    order = np.argsort(keys.astype(np.int16 if n <= 32_767 else np.int64), kind="stable")  # 16 bits are sorted by digits
+    counts = np.bincount(keys, minlength=n)
+    there = np.flatnonzero(counts)
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    out[there] = np.add.reduceat(rows[order], (np.cumsum(counts) - counts)[there], 0)
+    return out
 
 
 class Model:
@@ -185,8 +231,11 @@ class Model:
         for w, c in head.items():
             mass[place[raw[w]]] += c
         self.base_den = math.log10(total + 0.1 * (types + 1))
-        # word -> class, log10 of its share of the class, log10 of its base probability
-        self.words = {w: (k := place[raw[w]], math.log10(c / mass[k]), math.log10(c + 0.1) - self.base_den) for w, c in head.items()}
+        # word -> place in the arrays: class, log10 of its share of the class, log10 of its base probability; the last place is of no word
+        self.words = {w: i for i, w in enumerate(head)}
+        self.class_of = np.array([place[raw[w]] for w in head] + [0], np.int64)
+        self.share_of = np.array([math.log10(c / mass[place[raw[w]]]) for w, c in head.items()] + [0.0])
+        self.base_of = np.array([math.log10(c + 0.1) - self.base_den for c in head.values()] + [0.0])
         self.unseen, self.share = [], []
         for n, _, once in tails:
             u = min(0.9, (once + 0.5) / (n + 1))
@@ -198,9 +247,17 @@ class Model:
         mass[self.end] = ends
         self.net.b[:] = np.log((mass + 0.5) / (mass.sum() + 0.5 * self.classes))  # how frequent classes are
 
+    def placed(self, ws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of words (-1: not of the head), which of them are of the tail, and the classes of all and the end."""
+        at = np.fromiter(map(self.words.get, ws, repeat(-1)), np.int64, len(ws))
+        tail = np.flatnonzero(at < 0)
+        classes = np.append(self.class_of[at], self.end)
+        if len(tail):
+            classes[tail] = [self.tail0 + tail_class(ws[i]) for i in tail.tolist()]
+        return at, tail, classes
+
     def classes_of(self, ws: list[bytes]) -> np.ndarray:
-        words, tail0 = self.words, self.tail0
-        return np.array([words[w][0] if w in words else tail0 + tail_class(w) for w in ws] + [self.end], np.int64)
+        return self.placed(ws)[2]
 
     def fit(self, texts: list[list[bytes]]) -> None:
         if texts:
@@ -230,33 +287,33 @@ class Model:
             seen += on(long)
         return net.flat(), seen
 
-    def score(self, texts: list[str]) -> list[tuple[int, int, float, float]]:
-        """(tokens, head tokens and the end, base, score) of texts, without the tail's words."""
-        words, tail0 = self.words, self.tail0
-        seqs, out = [], []
+    def score(self, texts: list[str]) -> tuple[list[tuple[int, int, float, float]], list[Counter]]:
+        """(tokens, head tokens and the end, base, score) of texts, without the tail's words; these, counted."""
+        seqs, out, rare = [], [], []
         for t in texts:
             ws = tokens(t)
-            got = [words.get(w) for w in ws]
-            seqs.append(np.array([g[0] if g else tail0 + tail_class(w) for g, w in zip(got, ws, strict=True)] + [self.end], np.int64))
-            head = [g for g in got if g]
-            out.append((len(ws) + 1, len(head) + (self.ends > 0), sum([g[2] for g in head]) + self.base_end, sum([g[1] for g in head])))
+            at, tail, classes = self.placed(ws)
+            seqs.append(classes)
+            rare.append(Counter([ws[i] for i in tail.tolist()]))
+            out.append((len(ws) + 1, len(ws) - len(tail) + (self.ends > 0), float(self.base_of[at].sum()) + self.base_end, float(self.share_of[at].sum())))
         (lanes, owners), begins = packed(seqs, LANES)
         gained = np.zeros(len(texts))
         steps, width = max(map(len, lanes)), len(lanes)
         state = np.zeros((width, HIDDEN), np.float32)
         order = np.argsort([-len(x) for x in lanes], kind="stable")
-        lanes, owners, begins = ([x[i] for i in order] for x in (lanes, owners, begins))
-        lengths = np.array([len(x) for x in lanes])
+        lengths = np.array([len(lanes[i]) for i in order])
+        first = np.cumsum(lengths) - lengths
+        # lanes one after the other, longest first: a window takes its part of each
+        every, owner_of, begin_of = (np.concatenate([x[i] for i in order]) for x in (lanes, owners, begins))
         last = np.full(width, self.classes)
         for a in range(0, steps, WINDOW):
             live = int((lengths > a).sum())
-            n = min(WINDOW, steps - a)
-            target = np.zeros((n, live), np.int64)
-            owner = np.full((n, live), -1)
-            fresh = np.zeros((n, live), bool)
-            for i in range(live):
-                part = lanes[i][a : a + n]
-                target[: len(part), i], owner[: len(part), i], fresh[: len(part), i] = part, owners[i][a : a + n], begins[i][a : a + n]
+            step = np.arange(a, min(a + WINDOW, steps))[:, None]
+            there = step < lengths[:live]
+            place = np.where(there, first[:live] + step, 0)
+            target = np.where(there, every[place], 0)
+            owner = np.where(there, owner_of[place], -1)
+            fresh = begin_of[place] & there
             inputs = np.vstack([last[None, :live], target[:-1]])
             inputs[fresh] = self.classes
             states, state = self.net.run(inputs, fresh, state[:live])
@@ -264,7 +321,7 @@ class Model:
             logs = self.net.log_probabilities(states, target)
             on = owner >= 0
             gained += np.bincount(owner[on], logs[on].astype(np.float64), len(texts))
-        return [(n, k, b, s + g / math.log(10)) for (n, k, b, s), g in zip(out, gained.tolist(), strict=True)]
+        return [(n, k, b, s + g / math.log(10)) for (n, k, b, s), g in zip(out, gained.tolist(), strict=True)], rare
 
 
 def packed(seqs: list[np.ndarray], width: int):
@@ -452,42 +509,37 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
     token = uuid.uuid4().hex
     shared = spark.sparkContext.broadcast(model)  # bounded by HEAD
 
+    schema = "doc_id long, h long, held_out boolean, word binary, n long, k int, n_tokens long, known long, base double, model double"
+    kinds = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("held_out", pa.bool_()), ("word", pa.binary()), ("n", pa.int64()), ("k", pa.int32()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text, whose word is none that a text can have and spreads them, and one for each of its tail's words."""
         m = _model_of(token, shared)
         for b in batches:
-            if b.num_rows:
-                got = list(zip(*m.score(b.column("text").to_pylist()), strict=True))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), b.column("held"), *[pa.array(c, k) for c, k in zip(got, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]], names=["doc_id", "h", "held_out", "n_tokens", "known", "base", "model"])
-
-    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _model_of(token, shared).words
-        for b in batches:
-            rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
-            for d, h, t in zip(b.column("doc_id").to_pylist(), b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True):
-                found = Counter([w for w in tokens(t) if w not in words])
-                m = len(found)
-                rows[0].extend([d] * m)
-                rows[1].extend([h] * m)
-                rows[2].extend(found)
-                rows[3].extend(found.values())
-                rows[4].extend(map(tail_class, found))
-            for z in range(0, len(rows[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[z : z + 100_000], k) for c, k in zip(rows, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()), strict=True)], names=["doc_id", "h", "word", "n", "k"])
-
-    heads = own.select("doc_id", "h", "held", "text").mapInArrow(run, "doc_id long, h long, held_out boolean, n_tokens long, known long, base double, model double")
-    rare = own.select("doc_id", "h", "text").mapInArrow(tails, "doc_id long, h long, word binary, n long, k int")
+            if not b.num_rows:
+                continue
+            got, rare = m.score(b.column("text").to_pylist())
+            own = [b.column(c) for c in ("doc_id", "h", "held")]
+            none = [pa.nulls(b.num_rows, k) for k in (pa.int64(), pa.int32())]
+            place = pa.array([b" %d %d" % (h, i) for i, h in enumerate(own[1].to_pylist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*own, place, *none, *[pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds.types[6:], strict=True)]], schema=kinds)
+            rows = pa.array(np.repeat(np.arange(b.num_rows), [len(r) for r in rare]))
+            words, n = [w for r in rare for w in r], [c for r in rare for c in r.values()]
+            for z in range(0, len(words), 100_000):
+                at, some = rows[z : z + 100_000], words[z : z + 100_000]
+                made = [*[c.take(at) for c in own], pa.array(some, pa.binary()), pa.array(n[z : z + 100_000], pa.int64()), pa.array([tail_class(w) for w in some], pa.int32())]
+                yield pa.RecordBatch.from_arrays([*made, *[pa.nulls(len(some), k) for k in kinds.types[6:]]], schema=kinds)
+
+    scored = own.select("doc_id", "h", "held", "text").mapInArrow(run, schema)
     lit = lambda xs: F.array(*map(F.lit, xs))
-    known = rare.join(tail, "word", "left")
-    sums = known.groupBy("doc_id", "h").agg(
+    sums = scored.join(tail, "word", "left").groupBy("doc_id", "h", "held_out").agg(
+        F.count("n_tokens").alias("times"),  # equal rows meet each other here: each gets its part
+        *[F.max(c).alias(c) for c in ("n_tokens", "known", "base", "model")],
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("known_too"),
         F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 0.1) - model.base_den)).alias("base_too"),
         F.sum(F.col("n") * F.when(F.col("c").isNotNull(), F.log10("c") + lit(model.share)[F.col("k")]).otherwise(lit(model.unseen)[F.col("k")])).alias("model_too"),
     )
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    # equal rows met each other in the sums: each gets its part
-    times = own.groupBy(key.alias("key"), "h").agg(F.count("*").alias("times")).where("times > 1")
-    sums = sums.withColumn("key", key).drop("doc_id").join(times, ["key", "h"], "left")
-    sums = sums.select("key", "h", *[(F.col(c) / F.coalesce("times", F.lit(1))).alias(c) for c in ("known_too", "base_too", "model_too")])
-    all_ = heads.withColumn("key", key).join(sums, ["key", "h"], "left")
-    base = F.col("base") + F.coalesce("base_too", F.lit(0.0))
-    return all_.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("known_too", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("model") + F.coalesce("model_too", F.lit(0.0)) if ends else base).alias("score"))
+    too = [(F.coalesce(c, F.lit(0.0)) / F.col("times")).alias(c) for c in ("known_too", "base_too", "model_too")]
+    all_ = sums.select("doc_id", "held_out", "n_tokens", "known", "base", "model", *too, F.explode(F.expr("array_repeat(0, cast(times as int))")).alias("copy"))
+    base = F.col("base") + F.col("base_too")
+    return all_.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("known_too")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("model") + F.col("model_too") if ends else base).alias("score"))

@@ -189,6 +189,16 @@ def test_fit_more_reads_every_token():
     assert seen == sum(words.values()) + len(texts) and not np.allclose(weights, model.net.flat())
 
 
+def test_recurrent_lm_scores_in_one_pass(spark):
+    """Head and tail words come from one reading of the texts, and equal rows, with and without an id, each get the whole score."""
+    rows = [(i, prose(20, i)) for i in range(40)] + [(7, "seen once_only"), (7, "seen once_only"), (None, "seen never-else"), (None, "seen never-else"), (None, None)]
+    scored = recurrent_lm.score(docs(spark, rows), F.coalesce(F.col("doc_id") == 3, F.lit(False)))
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = scored.collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["n_tokens"]) for r in got if r["doc_id"] in (7, None)) == [(False, 7, 3), (False, 7, 3), (False, 7, 21), (True, None, 1), (True, None, 3), (True, None, 3)]
+    assert len(got) == len(rows) and len({r["score"] for r in got if r["doc_id"] == 7}) == 2
+
+
 def test_network_gradients():
     net = recurrent_lm.Network(5)
     for w in net.weights():
