@@ -509,37 +509,37 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
     token = uuid.uuid4().hex
     shared = spark.sparkContext.broadcast(model)  # bounded by HEAD
 
-    schema = "doc_id long, h long, held_out boolean, word binary, n long, k int, n_tokens long, known long, base double, model double"
-    kinds = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("held_out", pa.bool_()), ("word", pa.binary()), ("n", pa.int64()), ("k", pa.int32()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
+    schema = "doc_id long, h long, held_out boolean, word binary, n long, k int, scores array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text, whose word is none that a text can have and spreads them, and one for each of its tail's words."""
+        """A row for each text (its tokens, -1 - known ones, scores), with a word that no text can have and that spreads them; one for each of its tail's words, counted, and their classes."""
         m = _model_of(token, shared)
+
+        def rows(own: list[pa.Array], words: list[bytes], n, k, scores: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*own, pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array(k, pa.int32()), scores], names=["doc_id", "h", "held_out", "word", "n", "k", "scores"])
+
         for b in batches:
             if not b.num_rows:
                 continue
             got, rare = m.score(b.column("text").to_pylist())
-            own = [b.column(c) for c in ("doc_id", "h", "held")]
-            none = [pa.nulls(b.num_rows, k) for k in (pa.int64(), pa.int32())]
-            place = pa.array([b" %d %d" % (h, i) for i, h in enumerate(own[1].to_pylist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([*own, place, *none, *[pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds.types[6:], strict=True)]], schema=kinds)
-            rows = pa.array(np.repeat(np.arange(b.num_rows), [len(r) for r in rare]))
-            words, n = [w for r in rare for w in r], [c for r in rare for c in r.values()]
+            own, kind = [b.column(c) for c in ("doc_id", "h", "held")], pa.list_(pa.float64())
+            yield rows(own, [b" %d %d" % (h, i) for i, h in enumerate(own[1].to_pylist())], [g[0] for g in got], [-1 - g[1] for g in got], pa.array([g[2:] for g in got], kind))
+            at, words, n = np.repeat(np.arange(b.num_rows), [len(r) for r in rare]), [w for r in rare for w in r], [c for r in rare for c in r.values()]
             for z in range(0, len(words), 100_000):
-                at, some = rows[z : z + 100_000], words[z : z + 100_000]
-                made = [*[c.take(at) for c in own], pa.array(some, pa.binary()), pa.array(n[z : z + 100_000], pa.int64()), pa.array([tail_class(w) for w in some], pa.int32())]
-                yield pa.RecordBatch.from_arrays([*made, *[pa.nulls(len(some), k) for k in kinds.types[6:]]], schema=kinds)
+                some = words[z : z + 100_000]
+                of = pa.array(at[z : z + 100_000])
+                yield rows([c.take(of) for c in own], some, n[z : z + 100_000], list(map(tail_class, some)), pa.nulls(len(some), kind))
 
     scored = own.select("doc_id", "h", "held", "text").mapInArrow(run, schema)
     lit = lambda xs: F.array(*map(F.lit, xs))
+    text, seen, n = F.col("k") < 0, F.col("c").isNotNull(), F.col("n")
     sums = scored.join(tail, "word", "left").groupBy("doc_id", "h", "held_out").agg(
-        F.count("n_tokens").alias("times"),  # equal rows meet each other here: each gets its part
-        *[F.max(c).alias(c) for c in ("n_tokens", "known", "base", "model")],
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("known_too"),
-        F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 0.1) - model.base_den)).alias("base_too"),
-        F.sum(F.col("n") * F.when(F.col("c").isNotNull(), F.log10("c") + lit(model.share)[F.col("k")]).otherwise(lit(model.unseen)[F.col("k")])).alias("model_too"),
+        F.sum(F.when(text, 1).otherwise(0)).alias("times"),
+        F.sum(F.when(text, n).otherwise(0)).alias("n_tokens"),
+        F.sum(F.when(text, -1 - F.col("k")).when(seen, n).otherwise(0)).alias("known"),
+        F.sum(F.when(text, F.get("scores", F.lit(0))).otherwise(n * (F.log10(F.coalesce("c", F.lit(0)) + 0.1) - model.base_den))).alias("base"),
+        F.sum(F.when(text, F.get("scores", F.lit(1))).otherwise(n * F.when(seen, F.log10("c") + F.get(lit(model.share), "k")).otherwise(F.get(lit(model.unseen), "k")))).alias("model"),
     )
-    too = [(F.coalesce(c, F.lit(0.0)) / F.col("times")).alias(c) for c in ("known_too", "base_too", "model_too")]
-    all_ = sums.select("doc_id", "held_out", "n_tokens", "known", "base", "model", *too, F.explode(F.expr("array_repeat(0, cast(times as int))")).alias("copy"))
-    base = F.col("base") + F.col("base_too")
-    return all_.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("known_too")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("model") + F.col("model_too") if ends else base).alias("score"))
+    # equal rows met each other in the sums: each gets its part
+    all_ = sums.selectExpr("doc_id", "held_out", "n_tokens div times as n_tokens", "known div times as known", "base / times as base", "model / times as model", "explode(array_repeat(0, cast(times as int))) as copy")
+    return all_.select("doc_id", "held_out", "n_tokens", F.col("known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model" if ends else "base").alias("score"))
