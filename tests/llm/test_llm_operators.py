@@ -397,6 +397,14 @@ def test_line_dedup(spark, crowd, long):
     assert "Python" not in got._jdf.queryExecution().toString()
 
 
+def test_line_dedup_sorts_plain_numbers(spark):
+    """Tokens of a written table are ordered by rarity as numbers that can't be null."""
+    sets = common.written(line_dedup._sets(docs(spark, [(1, "one two three four five six")])))
+    own = line_dedup._own(sets, line_dedup._classes(sets)[0])
+    assert sets.schema["t"].dataType.containsNull and not own.schema["p"].dataType.containsNull
+    assert [r["p"] for r in own.collect()] == [sorted(r["p"]) for r in own.collect()]
+
+
 def test_line_dedup_empty_and_repeated(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
     clash = docs(spark, [(1, "one two three four five"), (2, "five\ttwo three  four one")]).selectExpr("*", "7 as n_removed", "'a' as d", "'b' as V", "'c' as bits", "'d' as `x.y`")
