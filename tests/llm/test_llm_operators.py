@@ -420,6 +420,14 @@ def test_line_dedup_counts_a_share(spark, monkeypatch):
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()} == lines_by_brute_force(rows)
 
 
+def test_line_dedup_counts_all_lines(spark):
+    """However many lines a table has, the tokens of every one are counted: here a share by the sets' hash would see none."""
+    sets = spark.range(250_000).selectExpr("2 * id + 1 as s", "array(5) as t")
+    classes, crowded = line_dedup._classes(sets)
+    seen = spark.sql(f"select {classes}[0] as n").first()["n"]
+    assert seen == round(4 * math.log2(1 + 250_000)) and seen >= crowded
+
+
 def test_line_dedup_empty_and_repeated(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
     clash = docs(spark, [(1, "one two three four five"), (2, "five\ttwo three  four one")]).selectExpr("*", "7 as n_removed", "'a' as d", "'b' as V", "'c' as bits", "'d' as `x.y`")
