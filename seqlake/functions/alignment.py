@@ -13,6 +13,9 @@ from seqlake.functions.sequence import GAP, IUPAC, RUN_GAP, characters
 ERROR_ITEM = "array<struct<i:int,ref:string,query:string>>"
 
 
+NONE = (GAP, RUN_GAP)
+
+
 def _run(s: str, at: int) -> int:
     """Length of the run at a place; none at a gap."""
     if at >= len(s) or s[at] in (GAP, RUN_GAP):
@@ -61,6 +64,58 @@ def error_category(ref: Column, query: Column) -> Column:
     )
 
 
+def error_counts(ref: str, query: str) -> tuple[int, int, int, int, int, int, int]:
+    """Pieces of error_items, and of them snp, indel, homoindel, compound (as error_category has it) and all but equal ones;
+    the reference's bases."""
+    ref, query = ref.strip(GAP), query[len(ref) - len(ref.lstrip(GAP)) :]
+    most, at, n, snp, indel, homoindel, compound, bases = min(len(ref), len(query)), 0, 0, 0, 0, 0, 0, 0
+    r_next, q_next = ref[1:] + "\0", query[1:] + "\0"
+    while at < most:
+        a, b = ref[at], query[at]
+        n += 1
+        if a != r_next[at] and b != q_next[at]:  # a piece of single letters, as most are
+            at += 1
+            if a not in NONE:
+                bases += 1
+            elif b in NONE:
+                raise ValueError("both sequences have a gap at one place")
+            if a != b:
+                if a == GAP or b == GAP:
+                    indel += 1
+                else:
+                    snp += 1
+            continue
+        step = max(_run(ref, at), _run(query, at))
+        if not step:
+            raise ValueError("both sequences have a gap at one place")
+        r, q = ref[at : at + step], query[at : at + step]
+        at += step
+        bases += len(r) - r.count(GAP) - r.count(RUN_GAP)
+        if r == q:
+            continue
+        if GAP in r or GAP in q:
+            indel += 1
+        elif len(r) == 1 and len(q) == 1:
+            snp += 1
+        elif set(r) - {RUN_GAP} == set(q) - {RUN_GAP}:
+            homoindel += 1
+        else:
+            compound += 1
+    return n, snp, indel, homoindel, compound, snp + indel + homoindel + compound, bases
+
+
+def tally_errors(ref: Column | str, query: Column | str) -> Column:
+    """struct(pieces, snp, indel, homoindel, compound, total, length) of error_counts, by an Arrow UDF; zeros where a sequence is null."""
+    names = ["pieces", "snp", "indel", "homoindel", "compound", "total", "length"]
+
+    @F.pandas_udf(", ".join(f"{n} long" for n in names))
+    def of(ref: pd.Series, query: pd.Series) -> pd.DataFrame:
+        rows = [(0,) * 7 if r is None or q is None else error_counts(r, q) for r, q in zip(ref, query, strict=True)]
+        return pd.DataFrame(rows, columns=names)
+
+    return of(ref, query)
+
+
 def expanded_pair(s1: str, c1: list[int], s2: str, c2: list[int]) -> tuple[str, str]:
     """Run-collapsed aligned pair back to bases: a gap is as long as the other side's run, the shorter run is filled with `=`."""
     out1, out2, i, j = [], [], 0, 0

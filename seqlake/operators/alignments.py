@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.functions.alignment import coverage_fraction, error_category, itemize_errors, match_barcode, primer_position, shown_difference
+from seqlake.functions.alignment import coverage_fraction, error_category, itemize_errors, match_barcode, primer_position, shown_difference, tally_errors
 from seqlake.functions.sequence import GAP, RUN_GAP, between, characters, count_ambiguous, mean_phred, reverse_complement
 from seqlake.functions.text import is_type_strain, is_unclassified, safe_name, taxid_of_features
 
@@ -51,11 +51,13 @@ def errors_of(alignments: DataFrame) -> DataFrame:
 
 
 def error_tallies(alignments: DataFrame) -> DataFrame:
-    """q_name, t_name, snp, indel, homoindel, compound, total, length (of the reference without gaps)."""
-    rows = errors_of(alignments)
-    kinds = ["snp", "indel", "homoindel", "compound"]
-    length = F.sum(F.length(F.regexp_replace("ref", f"[{GAP}{RUN_GAP}]", ""))).alias("length")
-    return rows.groupBy("q_name", "t_name").agg(*[F.count_if(F.col("category") == k).alias(k) for k in kinds], F.count_if(F.col("category") != "equal").alias("total"), length)
+    """q_name, t_name, snp, indel, homoindel, compound, total, length (of the reference without gaps).
+
+    The pieces are counted where they are found, so an alignment is one row of the sums.
+    """
+    rows = alignments.select("q_name", "t_name", tally_errors("t_seq", "q_seq").alias("e")).where("e.pieces > 0")
+    kinds = ["snp", "indel", "homoindel", "compound", "total", "length"]
+    return rows.groupBy("q_name", "t_name").agg(*[F.sum(f"e.{k}").alias(k) for k in kinds])
 
 
 def run_transitions(errors: DataFrame, most: int = 6) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 from itertools import groupby
 
 import pytest
@@ -137,3 +138,28 @@ def test_text(spark):
     assert one(spark, tf.is_type_strain(F.col("s")), s="x (T) y")
     f = spark.createDataFrame([([("source", {"db_xref": ["x:1", "taxon:123"]})],)], "f array<struct<type:string,qualifiers:map<string,array<string>>>>")
     assert f.select(tf.taxid_of_features(F.col("f"))).first()[0] == "123"
+
+
+def test_error_counts():
+    """Counted in place as the pieces and their categories count; the same pairs are refused."""
+    random.seed(5)
+
+    def counted(r, q):
+        got = [0] * 7
+        for e in al.error_items(r, q):
+            a, b = e["ref"], e["query"]
+            kind = 0 if a == b else 2 if "-" in a + b else 1 if len(a) == len(b) == 1 else 3 if set(a) - {"="} == set(b) - {"="} else 4
+            for i in {0, kind, 5 if kind else 0}:
+                got[i] += 1
+            got[6] += sum(c not in "-=" for c in a)
+        return tuple(got)
+
+    def result(f, *pair):
+        try:
+            return f(*pair)
+        except ValueError as e:
+            return str(e)
+
+    for _ in range(4000):
+        pair = ["".join(random.choice("AACG-=T") for _ in range(random.randint(0, 14))) for _ in "rq"]
+        assert result(al.error_counts, *pair) == result(counted, *pair)
