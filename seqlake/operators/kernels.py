@@ -15,37 +15,42 @@ from pyspark.sql import functions as F
 from seqlake.functions.sequence import GAP
 
 MATCH, MISMATCH, OPEN, EXTEND = 5, -4, -12, -4
-
-
-def _filled(a: str, b: str, local: bool, opened: int, extended: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Affine-gap score tables, row by row: best, gap in a, gap in b."""
-    x, y = np.frombuffer(a.encode("latin-1", "replace"), np.uint8), np.frombuffer(b.encode("latin-1", "replace"), np.uint8)
-    n, m = len(x), len(y)
+#: Cells of the tables that pairs are filled in together; a longer pair has tables of its own.
+CELLS = 1 << 20
+
+
+def _filled(pairs: list[tuple[str, str]], local: bool, opened: int, extended: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Affine-gap score tables of several pairs at once, row by row: best, gap in a, gap in b. What is beyond a pair's own
+    lengths means nothing; no cell depends on one further down or to the right."""
+    n, m = (max(len(p[side]) for p in pairs) for side in (0, 1))
+    x, y = np.zeros((len(pairs), n), np.uint8), np.zeros((len(pairs), m), np.uint8)
+    for k, p in enumerate(pairs):
+        for table, s in zip((x, y), p, strict=True):
+            table[k, : len(s)] = np.frombuffer(s.encode("latin-1", "replace"), np.uint8)
     low = -(10**8)
-    best, in_a, in_b = (np.full((n + 1, m + 1), low, np.int64) for _ in range(3))
-    best[0, 0] = 0
+    best, in_a, in_b = (np.full((len(pairs), n + 1, m + 1), low, np.int32) for _ in range(3))
+    best[:, 0, 0] = 0
     if local:
-        best[0, :] = best[:, 0] = 0
+        best[:, 0, :] = best[:, :, 0] = 0
     else:
-        in_a[0, 1:] = best[0, 1:] = opened + extended * np.arange(m)
-        in_b[1:, 0] = best[1:, 0] = opened + extended * np.arange(n)
-    step = extended * np.arange(m + 1)
+        in_a[:, 0, 1:] = best[:, 0, 1:] = opened + extended * np.arange(m)
+        in_b[:, 1:, 0] = best[:, 1:, 0] = opened + extended * np.arange(n)
+    step = (extended * np.arange(m + 1)).astype(np.int32)
     for i in range(1, n + 1):
-        in_b[i, 1:] = np.maximum(best[i - 1, 1:] + opened, in_b[i - 1, 1:] + extended)
-        row = np.maximum(best[i - 1, :-1] + np.where(y == x[i - 1], MATCH, MISMATCH), in_b[i, 1:])
+        in_b[:, i, 1:] = np.maximum(best[:, i - 1, 1:] + opened, in_b[:, i - 1, 1:] + extended)
+        row = np.maximum(best[:, i - 1, :-1] + np.where(y == x[:, i - 1 : i], np.int32(MATCH), np.int32(MISMATCH)), in_b[:, i, 1:])
         if local:
             row = np.maximum(row, 0)
         # a gap in a that began at k: best[k] + opened + extended * (j - k - 1), by a running maximum
-        start = np.concatenate([[best[i, 0]], row])
-        run = np.maximum.accumulate(start - step)[:-1] + step[1:] - extended + opened
-        in_a[i, 1:] = run
-        best[i, 1:] = np.maximum(row, run)
+        start = np.concatenate([best[:, i, :1], row], axis=1)
+        run = np.maximum.accumulate(start - step, axis=1)[:, :-1] + step[1:] - extended + opened
+        in_a[:, i, 1:] = run
+        best[:, i, 1:] = np.maximum(row, run)
     return best, in_a, in_b
 
 
-def aligned(a: str, b: str, local: bool = True, opened: int = OPEN, extended: int = EXTEND) -> tuple[int, str, str, int, int]:
-    """(score, a with gaps, b with gaps, start in a, start in b) of the best alignment; starts are from 0."""
-    best, in_a, in_b = _filled(a, b, local, opened, extended)
+def _traced(a: str, b: str, tables: tuple[np.ndarray, np.ndarray, np.ndarray], local: bool, opened: int, extended: int) -> tuple[int, str, str, int, int]:
+    best, in_a, in_b = (t[: len(a) + 1, : len(b) + 1] for t in tables)
     i, j = np.unravel_index(best.argmax(), best.shape) if local else (len(a), len(b))
     i, j, score = int(i), int(j), int(best[i, j])
     left, right, state = [], [], "best"
@@ -70,6 +75,33 @@ def aligned(a: str, b: str, local: bool = True, opened: int = OPEN, extended: in
     return score, "".join(reversed(left)), "".join(reversed(right)), i, j
 
 
+
+def aligned_all(pairs: list[tuple[str, str]], local: bool = True, opened: int = OPEN, extended: int = EXTEND) -> list[tuple[int, str, str, int, int]]:
+    """aligned() of each pair; pairs of like lengths are filled together, in tables of some CELLS cells."""
+    out: list = [None] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
+    at = 0
+    while at < len(order):
+        end, n, m = at, 0, 0
+        while end < len(order):
+            a, b = pairs[order[end]]
+            n, m = max(n, len(a) + 1), max(m, len(b) + 1)
+            if end > at and (end - at + 1) * n * m > CELLS:
+                break
+            end += 1
+        some = order[at:end]
+        tables = _filled([pairs[k] for k in some], local, opened, extended)
+        for i, k in enumerate(some):
+            out[k] = _traced(*pairs[k], tuple(t[i] for t in tables), local, opened, extended)
+        at = end
+    return out
+
+
+def aligned(a: str, b: str, local: bool = True, opened: int = OPEN, extended: int = EXTEND) -> tuple[int, str, str, int, int]:
+    """(score, a with gaps, b with gaps, start in a, start in b) of the best alignment; starts are from 0."""
+    return aligned_all([(a, b)], local, opened, extended)[0]
+
+
 def global_alignment(a: str, b: str) -> tuple[str, str]:
     _, x, y, _, _ = aligned(a, b, local=False)
     return x, y
@@ -81,8 +113,8 @@ def align_pairs(pairs: DataFrame, local: bool = True) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for a, b in zip(f["q_seq"], f["t_seq"], strict=True):
-                s, x, y, i, j = aligned((a or "").upper(), (b or "").upper(), local)
+            pairs = [((a or "").upper(), (b or "").upper()) for a, b in zip(f["q_seq"], f["t_seq"], strict=True)]
+            for s, x, y, i, j in aligned_all(pairs, local):
                 same = sum(c == d for c, d in zip(x, y, strict=True))
                 rows.append((s, same / len(x) if x else 0.0, len(x), i + 1, i + len(x.replace(GAP, "")), j + 1, j + len(y.replace(GAP, "")), x, y))
             yield pd.concat([f.reset_index(drop=True), pd.DataFrame(rows, columns=NAMES)], axis=1)

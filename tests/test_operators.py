@@ -261,3 +261,17 @@ def test_tree(spark):
     assert ao.edit_tree(t, prefix="x").first()["tree"] == "(xa_b:1,xc:2);"
     assert ao.edit_tree(t, {"c": "new"}).first()["tree"] == "(a b:1,new:2);"
     assert math.isclose(spark.range(1).select(ao.distance(F.lit(0.25))).first()[0], 0.75)
+
+
+def test_pairs_aligned_together(monkeypatch):
+    """Pairs that are filled in one table have the alignments they have alone; few tables are filled."""
+    random.seed(3)
+    pairs = [("".join(random.choice("ACGTN") for _ in range(random.randint(0, 24))), "".join(random.choice("ACGT") for _ in range(random.randint(0, 24)))) for _ in range(200)]
+    for local in (True, False):
+        alone = [kn.aligned(a, b, local) for a, b in pairs]
+        filled, calls = kn._filled, []
+        monkeypatch.setattr(kn, "_filled", lambda some, *rest: calls.append(len(some)) or filled(some, *rest))  # noqa: B023
+        assert kn.aligned_all(pairs, local) == alone and len(calls) == 1
+        monkeypatch.setattr(kn, "CELLS", 5000)
+        assert kn.aligned_all(pairs, local) == alone and 10 < len(calls) < 100
+        monkeypatch.undo()
