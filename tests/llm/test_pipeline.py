@@ -150,3 +150,10 @@ def test_caches_are_emptied_at_the_end_of_every_task(spark, tmp_path, monkeypatc
             yield pa.RecordBatch.from_arrays([pa.array([sum(len(m.kept) for m in own._made.values())])], names=["n"])
 
     assert {r["n"] for r in spark.range(200).repartition(40).mapInArrow(look, "n long").collect()} == {0}
+
+
+def test_lines_stage_counts_all_lines():
+    """The pipeline's line dedup takes its counts of tokens from every line, as the operator does."""
+    from seqlake.llm import line_dedup
+
+    assert line_dedup.COUNTED is None
