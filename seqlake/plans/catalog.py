@@ -127,7 +127,7 @@ def valid_hits(spark, d) -> DataFrame:
     taxa = lineage.join(tx.resolved_thresholds(lineage, tx.threshold_arrays(thresholds(spark), RANKS)), "tax_id")
     named = cf.with_specimens(hits(spark, d), specimens(spark, d)).where("sseqid is not null")
     references = seq_info(spark, d).withColumnRenamed("seqname", "sseqid").join(taxa, "tax_id")
-    return cf.select_valid_hits(named.join(cf.small(references), "sseqid"))
+    return cf.select_valid_hits(named.join(cf.small(references), "sseqid"), len(RANKS))
 
 
 # -- sequences ------------------------------------------------------------------------------------------------------
