@@ -44,8 +44,10 @@ BITS = 1 << 21
 #: Fewest toxic texts with a feature, least log-odds, most features, prefix lengths.
 LEAST, ODDS, FEATURES, PREFIX = 4, 2.5, 8000, (4, 5, 6, 7)
 THRESHOLD = 0.3
-#: Words whose worth a worker keeps.
+#: Words whose worth a worker keeps, those from before included.
 CACHE_WORDS = 100_000
+#: Words whose restored form a worker keeps, those from before included, and how long they may be.
+CACHE_RESTORED, CACHE_CHARS = 40_000, 64
 #: Ways to read a character after two letters that a worker keeps.
 CACHE_WAYS = 20_000
 
@@ -55,18 +57,50 @@ DRAWN = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg",
 _edge = re.compile(r"^[\W_]+|[\W_]+$")
 _strange = re.compile(r"[^a-zß-ɏ]|(.)\1\1")
 _doubled = re.compile(r"(.)\1", re.DOTALL)
+#: What _edge finds in ASCII.
+_SIGNS = "".join([c for c in map(chr, range(128)) if not c.isalnum()])
+_nothing = re.compile(r"_|[^\w\s%s]" % re.escape("".join(DRAWN)))
 _spaced = re.compile(r"(?:^|(?<=\s))\S(?:\s\S){2,}(?=\s|$)")
 
 
+class Kept(dict):
+    """Results by word. When half of `size` are kept, they only serve what is asked for again."""
+
+    def __init__(self, size: int):
+        self.half, self.before = size // 2, {}
+
+    def find(self, w: str, make):
+        """What get() doesn't have: make(w), or its result from before."""
+        got = self.before.get(w)
+        if got is None:
+            got = make(w)
+        if len(self) >= self.half:
+            self.before = dict(self)
+            self.clear()
+        self[w] = got
+        return got
+
+    def forget(self) -> None:
+        self.clear()
+        self.before = {}
+
+
 def grams(words: Counter) -> Counter:
     """Character trigrams of words, with their beginnings and ends."""
-    tri: Counter = Counter()
-    for w, n in words.items():
-        if w.isalpha():
-            s = f"^^{w}$"
-            for i in range(2, len(s)):
-                tri[s[i - 2 : i + 1]] += n
-    return tri
+    some = [w for w in words if w.isalpha()]
+    if not some:
+        return Counter()
+    sizes = np.fromiter(map(len, some), np.int64, len(some)) + 3
+    chars = np.frombuffer(f"^^{'$^^'.join(some)}$".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    key = chars[:-2] << 42 | chars[1:-1] << 21 | chars[2:]
+    inside = np.ones(len(chars), bool)  # not those from one word to the next
+    ends = np.cumsum(sizes)
+    inside[ends - 1] = inside[ends - 2] = False
+    times = np.repeat(np.fromiter(map(words.__getitem__, some), np.int64, len(some)), sizes)
+    order = np.argsort(key := key[inside[:-2]])
+    key, times = key[order], times[:-2][inside[:-2]][order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return Counter({chr(k >> 42) + chr(k >> 21 & 0x1FFFFF) + chr(k & 0x1FFFFF): n for k, n in zip(key[first].tolist(), np.add.reduceat(times, first).tolist(), strict=True)})
 
 
 class CharModel:
@@ -84,6 +118,7 @@ class CharModel:
         self.kept: dict[str, float] = {}
         self.ways: dict[str, dict[str, list]] = {}
         self.n_ways = 0
+        self.restored = Kept(CACHE_RESTORED)
 
     def cost(self, s: str) -> float:
         """-log of the last character after the two before."""
@@ -118,7 +153,16 @@ class CharModel:
             self.ways.clear()
             self.n_ways = 0
         for c in s:
-            known = self.ways.setdefault(c, {})
+            known = self.ways.get(c)
+            if known is None:
+                known = self.ways[c] = {}
+            if len(states) == 1:
+                ((last, (cost, path)),) = states.items()
+                ways = known.get(last)
+                if ways is not None and len(ways) == 1:  # nothing to choose from
+                    more, key, x = ways[0]
+                    states = {key: (cost + more, (path, x) if x else path)}
+                    continue
             nexts: dict[str, tuple[float, tuple | None]] = {}
             for last, (cost, path) in states.items():
                 ways = known.get(last)
@@ -139,9 +183,14 @@ class CharModel:
         return cost, "".join(reversed(out))
 
     def restore(self, s: str) -> str:
-        s = "".join([c for c in s if c.isalnum() or c.isspace() or c in DRAWN])  # the rest is nothing in every reading
+        s = _nothing.sub("", s)  # nothing in every reading
         # letters are read as themselves or as the letter before again
-        return s if s.isalpha() and not _doubled.search(s) else self.best(s)[1]
+        if s.isalpha() and not _doubled.search(s):
+            return s
+        if len(s) > CACHE_CHARS:
+            return self.best(s)[1]
+        got = self.restored.get(s)
+        return self.restored.find(s, lambda s: self.best(s)[1]) if got is None else got
 
 
 def forms(w: str, model: CharModel) -> list[str]:
@@ -149,14 +198,15 @@ def forms(w: str, model: CharModel) -> list[str]:
     strange = _strange.search(w)
     if not strange and "÷" not in w:  # the only sign that isn't strange
         return [w]
-    core = _edge.sub("", w)
-    out = [core] if core else []
-    if strange and any(map(str.isalnum, w)):
-        for x in {core, w}:
-            if x and _strange.search(x):
-                got = model.restore(x)
-                if got and got not in out:
-                    out.append(got)
+    core = w.strip(_SIGNS) if w.isascii() else _edge.sub("", w)
+    if not core:  # neither letter nor digit
+        return []
+    out = [core]
+    if strange:
+        for x in (w,) if core == w or not _strange.search(core) else (core, w):
+            got = model.restore(x)
+            if got and got not in out:
+                out.append(got)
     return out
 
 
@@ -186,6 +236,9 @@ def words_of(text: str, model: CharModel) -> list[str]:
     ends of words in such a run are uncertain."""
     low = text.lower()
     out = low.split()
+    # three single characters in a row, which a run has at least
+    if b"\1\1\1" not in bytes(map((1).__eq__, map(len, out))):
+        return out
     for m in _spaced.finditer(low):
         found = model.restore(m.group()).split()
         joined, most = "".join(found), max(PREFIX)
@@ -199,15 +252,16 @@ class Toxicity:
 
     def __init__(self, model: CharModel, odds: dict[str, float], weights: list[float]):
         self.model, self.odds, self.weights = model, odds, weights
-        self.kept: dict[str, float] = {}
-        self.read: dict[str, list[str]] = {}
+        self.kept, self.read = Kept(CACHE_WORDS), Kept(CACHE_WORDS // 2)
         self.starts = {f[: PREFIX[0]] for f in odds if len(f) >= PREFIX[0]}
 
     def worth(self, w: str) -> float:
         """The largest log-odds of what the word may be read as; 0 if the lexicon has nothing of it."""
         odds, most = self.odds, 0.0
         for x in forms(w, self.model):
-            most = max(most, odds.get("=" + x, 0.0))
+            own = odds.get("=" + x)
+            if own is not None and own > most:
+                most = own
             if x[: PREFIX[0]] in self.starts:
                 most = max(most, *[odds.get(x[:n], 0.0) for n in PREFIX if len(x) >= n])
         return most
@@ -215,18 +269,23 @@ class Toxicity:
     def features_of(self, text: str, wanted: list[int] | None = None) -> set[str]:
         """All features of what the text's words may be read as; with a bitmap (see _wanted), at least all that it has."""
         kept, out = self.read, set()
+
+        def read(w: str) -> list[str]:
+            return [f for x in forms(w, self.model) for f in (features(x) if wanted is None else _held(x, wanted))]
+
         for w in set(words_of(text, self.model)):
             x = kept.get(w)
             if x is None:
-                if len(kept) >= CACHE_WORDS // 2:
-                    kept.clear()
-                x = kept[w] = [f for x in forms(w, self.model) for f in (features(x) if wanted is None else _held(x, wanted))]
-            out.update(x)
+                x = kept.find(w, read)
+            if x:
+                out.update(x)
         return out
 
     def forget(self) -> None:
         """Leave no cache to the memory of an idle worker."""
-        for cache in (self.kept, self.read, self.model.kept, self.model.ways):
+        for cache in (self.kept, self.read, self.model.restored):
+            cache.forget()
+        for cache in (self.model.kept, self.model.ways):
             cache.clear()
         self.model.n_ways = 0
 
@@ -237,9 +296,7 @@ class Toxicity:
         for w in ws:
             x = kept.get(w)
             if x is None:
-                if len(kept) >= CACHE_WORDS:
-                    kept.clear()
-                x = kept[w] = self.worth(w)
+                x = kept.find(w, self.worth)
             if x:
                 hits[w] = x
                 n += 1

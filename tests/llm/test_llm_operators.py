@@ -526,6 +526,27 @@ def test_toxicity_learns_from_all_texts(spark):
     assert model.score(prose(8, 1) + " scumbag") > 0.5 > model.score(prose(8, 2))
 
 
+def test_restored_words_are_searched_once():
+    """A word with and without signs around it is one search; trigrams and runs of single letters are found without going letter by letter."""
+    from collections import Counter
+
+    model = noisy_toxicity.CharModel(Counter({"idiot": 9, "moron": 7}))
+    searched, best = [], model.best
+    model.best = lambda s: searched.append(s) or best(s)
+    found = noisy_toxicity.Toxicity(model, {"=idiot": 3.0}, [0.0, 1.0, 0.0, 0.0])
+    assert [found.worth(w) for w in ("1d10t", "1d10t.", "(1d10t)", "1d10t", "..", "-")] == [3.0, 3.0, 3.0, 3.0, 0.0, 0.0]
+    assert searched == ["1d10t", "(1d10t"]
+    found.forget()
+    assert not model.restored and not model.restored.before
+    words = Counter({"straße": 2, "a": 3, "b-c": 5, "日本": 1, "𝒳y": 4})
+    tri = Counter()
+    for w in ("straße", "a", "日本", "𝒳y"):
+        for i in range(len(w) + 1):
+            tri[f"^^{w}$"[i : i + 3]] += words[w]
+    assert noisy_toxicity.grams(words) == tri and not noisy_toxicity.grams(Counter({"1": 1}))
+    assert "idiot" in noisy_toxicity.words_of("an\ni d i o\tt there", model) and noisy_toxicity.words_of("a b cd e", model) == ["a", "b", "cd", "e"]
+
+
 def test_lattice_against_enumeration():
     """The search finds the cheapest of all readings, which are listed one by one."""
     from collections import Counter
