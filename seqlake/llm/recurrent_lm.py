@@ -371,8 +371,11 @@ class Groups:
     def features(self, texts: list[list[bytes]]) -> np.ndarray:
         get = self.frequent.get
         x = np.zeros((len(texts), max(1, len(self.frequent))))
+        other = repeat(x.shape[1])
         for i, t in enumerate(texts):
-            x[i] = np.bincount([k for w in t if (k := get(w)) is not None] or [0], minlength=x.shape[1]) if t else 0
+            x[i] = np.bincount(np.fromiter(map(get, t, other), np.int64, len(t)), minlength=x.shape[1] + 1)[:-1]
+            if t and not x[i].any():
+                x[i, 0] = 1  # without a frequent word, as with the first
         return np.sqrt(x / np.maximum(1, x.sum(1, keepdims=True)))
 
     def of(self, x: np.ndarray) -> np.ndarray:

@@ -189,6 +189,15 @@ def test_fit_more_reads_every_token():
     assert seen == sum(words.values()) + len(texts) and not np.allclose(weights, model.net.flat())
 
 
+def test_features_of_texts():
+    """Shares of frequent words, as square roots; what has none counts as the first."""
+    groups = recurrent_lm.Groups([[b"a", b"b", b"a"], [b"b", b"a"]])
+    assert list(groups.frequent) == [b"a", b"b"]
+    got = groups.features([[b"a", b"x", b"b", b"a", b"a"], [b"x"], []])
+    assert np.allclose(got, [[0.75**0.5, 0.5], [1, 0], [0, 0]])
+    assert recurrent_lm.Groups([]).features([[b"x"], []]).tolist() == [[1.0], [0.0]]
+
+
 def test_recurrent_lm_scores_in_one_pass(spark):
     """Head and tail words come from one reading of the texts, and equal rows, with and without an id, each get the whole score."""
     rows = [(i, prose(20, i)) for i in range(40)] + [(7, "seen once_only"), (7, "seen once_only"), (None, "seen never-else"), (None, "seen never-else"), (None, None)]
