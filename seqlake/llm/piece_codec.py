@@ -127,7 +127,7 @@ class PieceCodec:
         self.is_byte = np.array([kind == 6 for _, _, kind in pieces])
         self.pairs: dict[int, bool] = {}
         self.words = _Kept(self.word)
-        self.parts = _Kept(lambda part: b"".join([self.words[w] for w in self.cut(MARK + part)]))
+        self.parts = _Kept(self.part)
         self.cut = re.compile(self._cuts()).split
 
     def _cuts(self) -> str:
@@ -193,8 +193,15 @@ class PieceCodec:
                 pos -= len_of[back]
                 tok = shorter[back]
 
+    def part(self, s: str) -> bytes:
+        """Ids of what stands between two spaces, with the mark before it. Cuts are beside punctuation and line ends only."""
+        return self.word(MARK + s) if s.isalpha() else b"".join([self.words[w] for w in self.cut(MARK + s)])
+
     def word(self, s: str) -> bytes:
         """Ids of a piece of text that merging doesn't leave, as little-endian 32-bit integers."""
+        whole = self.id_of.get(s)
+        if whole is not None:  # the longest piece from its beginning
+            return whole.to_bytes(4, "little")
         n = len(s)
         longest = [-1] * n
         for last, (i, size) in self.auto.iter(s):
@@ -211,7 +218,7 @@ class PieceCodec:
                 end += 1
             ids += (self._run if end - pos <= 8192 else self._long)(s, longest, pos, end)
             pos = end
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _long(self, s: str, longest: list[int], begin: int, end: int) -> list[int]:
         """As _run, for runs so long that one integer for the bitfield would be copied too often."""

@@ -126,6 +126,19 @@ def test_piece_codec(spark, model):
     assert piece_codec.encode_documents(df.limit(0), model).count() == 0
 
 
+def test_letters_between_spaces_are_kept_once(model):
+    """Words of letters only are neither cut nor kept a second time, and have the ids of plain merging."""
+    codec = piece_codec.PieceCodec(model)
+    words = ["the", "thing", "zqxjv", "été", "straße", "日本語", "a", "don't", "end.", "x1", "²", "ªº"]
+    text = " ".join(words)
+    assert codec.decode(codec.encode(text)) == text
+    assert not any(w.strip(piece_codec.MARK).isalpha() and piece_codec.MARK in w for w in codec.words if w[1:] in words)
+    for w in words[:7]:
+        merged = codec.merge(piece_codec.MARK + w)
+        ids = [i for p in merged for i in ([codec.id_of[p]] if p in codec.id_of else [codec.bytes_at[x] for x in p.encode()])]
+        assert codec.parts[w] == np.array(ids, "<u4").tobytes()
+
+
 # -- 3
 
 
